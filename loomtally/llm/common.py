@@ -25,6 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that tasks can import it."""
+    import shutil
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_loomtally_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = Path(tempfile.mkdtemp(prefix="loomtally-"))
+    copy = folder / "tree" / package.name
+    shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(folder / package.name), "zip", folder / "tree", package.name))
+    sc._loomtally_shipped = True
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtally.llm.common import without
+from loomtally.llm.common import ship, without
 
 NONE = "und"
 BUCKET_BITS = 15
@@ -78,6 +78,7 @@ def fit(docs: DataFrame, text: str, lang: str, order: Column, sample_docs: int =
     if there are no more. Null languages are not learned from. Class counts are of all
     labelled rows.
     """
+    ship(docs.sparkSession)
     labelled = docs.where(F.col(lang).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(order, F.lit(1 << 30)).alias("at")
     )
@@ -166,6 +167,7 @@ def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text") ->
     """
     langs, logp, prior = model
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast((logp, prior))
     rows = docs.select(*keep, text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])

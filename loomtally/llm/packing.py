@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtally.llm.common import materialize, numbered
+from loomtally.llm.common import materialize, numbered, ship
 
 END_OF_TEXT = "<|endoftext|>"
 # White space as the byte-level vocabulary's splitting rule knows it (Unicode White_Space).
@@ -250,6 +250,7 @@ def pack(
     packed each for itself. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     pieces = materialize(

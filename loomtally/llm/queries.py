@@ -7,10 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtally.llm import exact_dedup, language_id, mixing, packing, simhash
+from loomtally.llm import (
+    chat_format,
+    exact_dedup,
+    fingerprints,
+    language_id,
+    lm_scoring,
+    mixing,
+    packing,
+    quality,
+    secret_scan,
+    simhash,
+)
 from loomtally.llm.common import fold, table
 
 
+def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -19,6 +38,32 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_order(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    probe = spark.sql(
+        "SELECT -7L AS conv_id, turn, role, :hard AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)",
+        args={"hard": hard},
+    )
+    record = F.to_variant_object(F.struct("role", "text"))
+    made = chat_format.format_conversations(rows.unionByName(probe), "conv_id", ["turn"], record)
+    turns = chat_format.read_back(F.col("formatted"))
+    loss = chat_format.read_loss(F.col("segments"))
+    lines = F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return made.select(
+        "conv_id",
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,6 +80,15 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(docs, labels.where(fold("doc_id", 5) != 0))
+    rows = docs.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
+    scored = quality.score(rows, model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 OP3_SQL = """
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -53,11 +107,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
     return {
+        "op1_imatch_fingerprints": op1_imatch_fingerprints,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_mix_sources": op4_mix_sources,
+        "op5_secret_scan": op5_secret_scan,
+        "op6_chat_format": op6_chat_format,
         "op7_pack_sequences": op7_pack_sequences,
         "op8_language_id": op8_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_quality": op10_quality,
         "pipeline": run,
     }
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtally.llm.common import materialize, text_or_empty, without
+from loomtally.llm.common import materialize, ship, text_or_empty, without
 
 BITS = 64
 
@@ -241,6 +241,7 @@ def simhash_components(
     null ids are kept and never lead. ``text_hash`` tells rows apart that
     repeat an id. Other columns of ``docs`` are ignored.
     """
+    ship(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.xxhash64(text_or_empty(text_col)).alias("text_hash"),
