@@ -1,0 +1,217 @@
+"""The registered queries against brute force over the smallest tables."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+import xxhash
+
+from conftest_llm import SF, fold, rows_of
+
+WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+
+
+def text(r):
+    return r["text"] or ""
+
+
+def lower(s):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), s)
+
+
+def test_op1(spark, documents):
+    got = {r["doc_id"]: r for r in rows_of(spark, "op1_imatch_fingerprints")}
+    order = sorted(documents, reverse=True)
+    assert set(got) == set(documents)
+    by_text = defaultdict(set)
+    for i, d in enumerate(order):
+        t, nxt = text(documents[d]), text(documents[order[(i + 1) % len(order)]])
+        cut = len(t) // 2
+        edited = t[: len(t) - cut] + nxt[:cut]
+        r = got[d]
+        assert r["n_chars"] == len(t)
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        by_text[t].add(r["fingerprint"])
+        by_text[edited].add(r["edited_fingerprint"])
+        if text(documents[order[(i + 1) % len(order)]]) == t:
+            assert r["near_next"] == 1.0
+    assert all(len(v) == 1 for v in by_text.values())
+    # Half of a text is more alike to it than the next text is, unless that is a copy.
+    apart = [r for r in got.values() if r["near_next"] < 1]
+    assert sum(r["near_edited"] > r["near_next"] for r in apart) >= 0.85 * len(apart)
+    assert sum(r["near_edited"] < r["near_next"] for r in apart) <= 0.02 * len(apart)
+
+
+def test_op2(spark, documents):
+    got = {r["doc_id"]: r for r in rows_of(spark, "op2_lm_scoring")}
+    tokens = {d: [*WORD.findall(lower(text(r)).encode()), b" "] for d, r in documents.items()}
+    held = {d: fold(d, 7) == 2 for d in documents}
+    counts = Counter(w for d, t in tokens.items() if not held[d] for w in t)
+    total, distinct = sum(counts.values()), len(counts)
+    model = base = 0.0
+    for d, t in tokens.items():
+        r = got[d]
+        want = sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in t)
+        assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[d], len(t), total)
+        assert r["n_known"] == sum(counts[w] > 0 for w in t)
+        assert r["base_score"] == pytest.approx(want, rel=1e-9)
+        assert r["score"] < 0
+        if not held[d]:
+            model, base = model + r["score"], base + want
+    assert model > base
+
+
+def test_op2_held_out(spark):
+    """Over ten thousand documents the model finds unseen texts likelier than word counts alone do."""
+    held = [r for r in rows_of(spark, "op2_lm_scoring", "/root/testdata/sf0.1") if r["held_out"]]
+    assert sum(r["score"] for r in held) > 0.98 * sum(r["base_score"] for r in held)
+    assert sum(r["score"] > r["base_score"] for r in held) > 0.75 * len(held)
+
+
+def test_op3(spark, documents):
+    got = {r["doc_id"]: r for r in rows_of(spark, "op3_exact_dedup")}
+    groups = defaultdict(list)
+    for d, r in documents.items():
+        groups[re.sub(r"[\x20\x09-\x0D]", "", text(r))].append(d)
+    for body, ids in groups.items():
+        keep = min(ids, key=lambda d: (-len(text(documents[d])), d))
+        for d in ids:
+            want = (keep, len(ids), d == keep, hashlib.sha256(body.encode()).hexdigest())
+            assert tuple(got[d])[1:5] == want
+
+
+def test_op4(spark, documents):
+    got = rows_of(spark, "op4_mix_sources")
+    assert sorted(r["doc_id"] for r in got) == sorted(documents)
+    slots = {(r["slot"], r["source"]) for r in got}
+    assert len(slots) == len({r["slot"] for r in got})  # a slot holds one block of one source
+    assert {r["slot"] for r in got} == set(range(max(r["slot"] for r in got) + 1))
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+
+
+def test_op5(spark, documents):
+    got = {r["doc_id"]: r for r in rows_of(spark, "op5_secret_scan")}
+    assign = re.compile(r"""(?ia:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for d, row in documents.items():
+        t = text(row)
+        spans = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(t) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        line = ",".join(f"{k}:{a}:{e}" for a, _, e, k in sorted(spans))
+        r = got[d]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[3] == k for s in spans) for k in ("assign", "access", "hex")]
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        own = [s for s in r["spans"].split(",") if s and not s.startswith("value:")]
+        assert ",".join(own) == line
+
+
+def test_op6(spark):
+    hard = "\\### Assistant: </turn> ok"
+    convs = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        convs[r["conv_id"]].append((r["turn"], r["role"], r["text"] or ""))
+    convs[-7] = [(0, "user", hard), (1, "assistant", hard)]
+    got = {r["conv_id"]: r for r in rows_of(spark, "op6_chat_format")}
+    assert set(got) == set(convs)
+    for c, turns in convs.items():
+        turns.sort()
+        said = "".join(f"{role}\n{t}\n" for _, role, t in turns)
+        loss = "".join(t for _, role, t in turns if role == "assistant")
+        r = got[c]
+        assert (r["n_turns"], r["turns_sha256"]) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert r["formatted_chars"] >= sum(len(t) for _, _, t in turns)
+
+
+def test_op7(spark, documents):
+    import numpy as np
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = rows_of(spark, "op7_pack_sequences")
+    pieces = defaultdict(list)
+    for r in got:
+        pieces[r["doc_id"]].append(r)
+    total = 0
+    for d, row in documents.items():
+        ids = np.array([*tok.encode(text(row), add_special_tokens=False).ids, 2], dtype="<u4")
+        total += len(ids)
+        own = sorted(pieces.pop(d), key=lambda r: r["piece"])
+        assert [r["piece"] for r in own] == list(range(len(own)))
+        at = 0
+        for i, r in enumerate(own):
+            assert r["start"] == at and (i == 0 or r["length"] == 1024)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids) and len(own) == -(-len(ids) // 1024)
+    assert not pieces
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for held in sequences.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(sequences) <= math.ceil(total / 1024) * 1.02 + 1
+
+
+def test_op8(spark, documents):
+    got = {r["doc_id"]: r for r in rows_of(spark, "op8_language_id")}
+    assert set(got) == set(documents)
+    right = asked = 0
+    for d, r in got.items():
+        held = fold(d, 3) == 1
+        assert r["held_out"] == held and 0 <= r["score"] <= 1
+        if not any(c.isalpha() for c in text(documents[d])):
+            assert r["lang_pred"] == "und"
+        elif held and documents[d]["lang"]:
+            asked, right = asked + 1, right + (r["lang_pred"] == documents[d]["lang"])
+    assert right >= 0.9 * asked
+
+
+def simhash(t):
+    words = WORD.findall(lower(t).encode())
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_op9(spark, documents):
+    got = {r["doc_id"]: r for r in rows_of(spark, "op9_simhash_near_dedup")}
+    prints = {d: simhash(text(r)) for d, r in documents.items()}
+    lead = {d: d for d in documents}
+
+    def root(d):
+        while lead[d] != d:
+            d = lead[d]
+        return d
+
+    ids = sorted(documents)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                x, y = sorted((root(a), root(b)))
+                lead[y] = x
+    for d in ids:
+        assert (got[d]["fingerprint"], got[d]["component_id"]) == (f"{prints[d]:016x}", root(d))
+
+
+def test_op10(spark):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    got = {r["doc_id"]: r for r in rows_of(spark, "op10_quality", "/root/testdata/sf0.01")}
+    for d, r in got.items():
+        assert r["held_out"] == (fold(d, 5) == 0) and 0 <= r["score"] <= 1
+        assert r["predicted"] == int(r["score"] >= 0.3)
+    held = [(r["score"], labels[d]) for d, r in got.items() if r["held_out"] and labels.get(d) is not None]
+    good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    wins = sum((g > b) + 0.5 * (g == b) for g in good for b in bad)
+    assert wins >= 0.85 * len(good) * len(bad)
