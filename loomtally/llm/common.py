@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,18 +73,21 @@ def fold(column: str | Column, modulus: int) -> Column:
 
 
 def numbered(
-    df: DataFrame, key: str, order: list[Column], out: str, rows_per_bucket: int = 20_000
+    df: DataFrame, key: str, order: list[Column], out: str, rows_per_bucket: int | None = None
 ) -> DataFrame:
     """Number the rows of every ``key`` from 0, without one task per key.
 
     Rows are dealt to hash buckets; a small table of bucket sizes gives each
     bucket its first number, and only the rows of a bucket are sorted together.
+    Without ``rows_per_bucket`` there are about as many buckets as rows in one,
+    so neither a bucket nor the table of sizes grows faster than the root of the rows.
     ``order`` must tell rows apart; rows equal in it are interchangeable.
     """
     from pyspark.sql import Window
 
     p = without(df)
-    buckets = max(1, -(-df.count() // rows_per_bucket))
+    rows = df.count()
+    buckets = max(1, -(-rows // (rows_per_bucket or max(512, isqrt(rows)))))
     dealt = df.withColumn(f"{p}_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy(key, f"{p}_b").agg(F.count("*").alias(f"{p}_n"))
     before = Window.partitionBy(key).orderBy(f"{p}_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -134,7 +134,7 @@ def mix_order(
     slots = block_slots(spark, plan_cycles(blocks, known_weights))
     order = [F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.col("doc_id"), F.col("text_hash"), F.col("again")]
     return (
-        numbered(rows, "source", order, "nth", rows_per_bucket=8_192)
+        numbered(rows, "source", order, "nth")
         .join(F.broadcast(sources.select(F.col("source").alias("of"), "s")) if len(known) <= 100_000 else sources.select(F.col("source").alias("of"), "s"), F.col("source").eqNullSafe(F.col("of")))
         .withColumn("block", F.expr(f"nth div {block_rows}"))
         .withColumn("place", F.col("nth") % block_rows)
