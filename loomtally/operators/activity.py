@@ -162,3 +162,10 @@ def fill_days(by_day: DataFrame, value: str, most: int = 1000) -> DataFrame:
     return days.select(F.date_format("d", "yyyy-MM-dd").alias("day")).join(by_day, "day", "left").select(
         "day", F.coalesce(value, F.lit(0)).alias(value)
     )
+
+
+def orphan_days(activity: DataFrame, prompts: DataFrame, tz: str) -> DataFrame:
+    """Days of side work on which no main thread was active and nothing was asked."""
+    own = activity.select("file_class", clock.local_day(F.col("ts_ms"), tz).alias("day"))
+    main = own.where("file_class = 'main'").select("day").union(prompts.select(clock.local_day(F.col("ts_ms"), tz)))
+    return own.where("file_class <> 'main'").select("day").distinct().join(main.distinct(), "day", "left_anti")

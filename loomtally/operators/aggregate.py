@@ -187,3 +187,28 @@ def cost_ratios(windows: DataFrame, priced: DataFrame) -> DataFrame:
     return own.join(r, inside, "left").groupBy("session_id", "start_ms", "last_ms", "reported_nano").agg(
         F.count("sid").alias("responses"), sum_big("nano").alias("nano")
     ).withColumn("ratio", F.col("nano").cast("double") / F.col("reported_nano").cast("double"))
+
+
+def delegation(priced: DataFrame) -> DataFrame:
+    """Value of side work and its share."""
+    side = F.coalesce(F.sum(F.when(F.col("is_sidechain"), F.col("nano")).cast("decimal(20,0)")), F.lit(0)).cast("decimal(38,0)")
+    sums = priced.agg(side.alias("side_nano"), sum_big("nano").alias("nano"))
+    return sums.withColumn("side_share", share(F.col("side_nano"), F.col("nano")))
+
+
+def workflow_counts(workflow: DataFrame) -> DataFrame:
+    return workflow.agg(*(F.count_if(F.col("event") == e).alias(e) for e in ("launched", "started", "result", "failed")))
+
+
+def skipped_counts(skipped: DataFrame) -> DataFrame:
+    return skipped.groupBy("reason", "record_type").agg(F.count("*").alias("records"))
+
+
+def redacted(table: DataFrame, key: str, noun: str) -> DataFrame:
+    """A letter for each key, by value; ``table`` has a row per key."""
+    from pyspark.sql import Window
+
+    from loomtally.functions.text import letters
+
+    nth = F.row_number().over(Window.orderBy(F.desc("nano"), key))
+    return table.select(key, F.concat(F.lit(f"{noun} "), letters(nth)).alias("label"))

@@ -119,3 +119,7 @@ class Accounting:
     @cached_property
     def by_project(self) -> DataFrame:
         return G.by_project(self.priced)
+
+    @cached_property
+    def secrets(self) -> DataFrame:
+        return D.secret_findings(self._limited("secret"), self.files)
