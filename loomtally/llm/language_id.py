@@ -176,8 +176,10 @@ def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text") ->
 
 def keep_identified(docs: DataFrame, model, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` without rows whose language can't be told: ``und``, or a posterior under ``least``."""
+    # Under other names, as the columns of ``docs`` may be called like those that predict() adds.
     p = without(docs)
-    order = [c for c in docs.columns if c != text_col]
-    again = docs.select(*order, F.col(text_col), F.col(text_col).alias(f"{p}_t"))
-    found = predict(again, model, [*order, text_col], f"{p}_t")
-    return found.where((F.col("lang_pred") != NONE) & (F.col("score") >= least)).select(*docs.columns)
+    names = [f"{p}_{i}" for i in range(len(docs.columns))]
+    renamed = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)), F.col(text_col).alias(f"{p}_t"))
+    found = predict(renamed, model, names, f"{p}_t")
+    kept = found.where((F.col("lang_pred") != NONE) & (F.col("score") >= least))
+    return kept.select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
