@@ -1,17 +1,23 @@
 """Interleaving sources at target weights by Pfair scheduling.
 
 The rows of a source are dealt to blocks of equal size, and a slot holds one
-block. In every cycle of L slots source s has a whole number q of blocks; its
-k-th block (from 0) is released at floor(k L / q) and due at ceil((k+1) L / q).
-Earliest deadline first among released blocks meets all deadlines, so in each
-slot every source is within less than one block of its share. A cycle's
-schedule is found once and repeated: the slot of a block follows from its number
-alone. When a source runs out, the weights of the others are scaled up and a new
-cycle is planned, so every row is placed exactly once.
+block. A phase lasts until a source runs out; in it a source of share w has its
+k-th block (from 0) released at floor(k / w) and due at ceil((k+1) / w), counted
+from the start of the phase. Earliest deadline first among released blocks meets
+all deadlines, so in each slot every source is within less than one block of its
+share. When a source runs out, the weights of the others are scaled up and a new
+phase begins in the next slot, so every row is placed exactly once.
 """
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
+from heapq import heapify, heappop, heappush
+from math import lcm
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,72 +26,72 @@ from loomtally.llm.common import materialize, numbered, text_or_empty, without
 SLOTS_PER_CYCLE = 1024
 
 
-def apportion(weights: list[float], seats: int) -> list[int]:
-    """Whole numbers that sum to ``seats``, one at least each, nearest to the weights."""
-    total = sum(weights)
-    exact = [w / total * (seats - len(weights)) for w in weights]
-    out = [int(x) for x in exact]
-    rest = sorted(range(len(weights)), key=lambda i: (out[i] - exact[i], i))
-    for i in rest[: seats - len(weights) - sum(out)]:
-        out[i] += 1
-    return [x + 1 for x in out]
+def whole(weights: list[float]) -> list[int]:
+    """The weights as whole numbers in the very same proportion."""
+    exact = [Fraction(w) for w in weights]
+    unit = lcm(*(x.denominator for x in exact))
+    return [int(x * unit) for x in exact]
 
 
-def plan_cycles(blocks: list[int], weights: list[float], slots: int = SLOTS_PER_CYCLE) -> list[tuple]:
-    """(first slot, cycles, slots a cycle, quotas, blocks used before) until all blocks are placed.
+def schedule(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int, int, int]]:
+    """(source, block, release, deadline) of slot 0, 1, ... until all blocks are placed.
 
-    Takes one number per source, whatever the number of rows. A cycle in which a
-    source has fewer blocks left than its quota runs once, with what there is.
+    Sources of weight zero come when no other has blocks left, in equal shares.
+    Memory is a few numbers a source, work is in proportion to slots and, at the
+    start of each phase, to the sources that are left.
     """
-    left, used, at, out = list(blocks), [0] * len(blocks), 0, []
+    exact, left, used, at = whole(weights), list(blocks), [0] * len(blocks), 0
     while any(left):
-        live = [i for i, n in enumerate(left) if n]
-        share = apportion([weights[i] for i in live], max(slots, 4 * len(live)))
-        quota = [0] * len(blocks)
-        for i, q in zip(live, share, strict=True):
-            quota[i] = q
-        cycles = min(left[i] // quota[i] for i in live)
-        if not cycles:
-            quota, cycles = [min(q, n) for q, n in zip(quota, left, strict=True)], 1
-        out.append((at, cycles, sum(quota), quota, list(used)))
-        for i in live:
-            left[i] -= cycles * quota[i]
-            used[i] += cycles * quota[i]
-        at += cycles * sum(quota)
-    return out
-
-
-def block_slots(spark: SparkSession, cycles: list[tuple]) -> DataFrame:
-    """s, block, slot, release, deadline for every block; the schedule itself runs in SQL."""
-    rows = ", ".join(
-        f"({first}L, {n}L, {size}, array({', '.join(map(str, q))}), array({', '.join(f'{u}L' for u in used)}))"
-        for first, n, size, q, used in cycles
+        w = {i: exact[i] for i, n in enumerate(left) if n and exact[i] > 0} or {i: 1 for i, n in enumerate(left) if n}
+        total, first, done = sum(w.values()), at, dict.fromkeys(w, 0)
+        ready = [(-(-total // n), i) for i, n in w.items()]
+        heapify(ready)
+        waiting: list[tuple[int, int]] = []
+        over = False
+        while not over:
+            while waiting and waiting[0][0] <= at - first:
+                i = heappop(waiting)[1]
+                heappush(ready, (-(-(done[i] + 1) * total // w[i]), i))
+            due, i = heappop(ready)
+            k = done[i]
+            yield i, used[i], first + k * total // w[i], first + due
+            done[i], used[i], left[i], at = k + 1, used[i] + 1, left[i] - 1, at + 1
+            over = not left[i]
+            heappush(waiting, ((k + 1) * total // w[i], i))
+
+
+def plan_cycles(blocks: list[int], weights: list[float], slots: int = SLOTS_PER_CYCLE) -> Iterator[tuple]:
+    """(first slot, sources, blocks, releases, deadlines) for stretches of up to ``slots`` slots."""
+    at, held = 0, tuple(array("q") for _ in range(4))
+    for row in schedule(blocks, weights):
+        for column, x in zip(held, row, strict=True):
+            column.append(x)
+        if len(held[0]) == slots:
+            yield at, *held
+            at, held = at + slots, tuple(array("q") for _ in range(4))
+    if held[0]:
+        yield at, *held
+
+
+def block_slots(spark: SparkSession, cycles: Iterator[tuple]) -> DataFrame:
+    """s, block, slot, release, deadline for every block; 32 bytes a block pass through the driver."""
+    names = ("s", "block", "release", "deadline")
+    kind = pa.list_(pa.int64())
+    rows = [
+        pa.table(
+            {"first": pa.array([first], pa.int64())}
+            | {c: pa.ListArray.from_arrays([0, len(x)], pa.array(memoryview(x))).cast(kind) for c, x in zip(names, held, strict=True)}
+        )
+        for first, *held in cycles
+    ]
+    made = spark.createDataFrame(pa.concat_tables(rows)).repartition(max(1, min(64, len(rows))), "first")
+    return made.select("first", F.posexplode(F.arrays_zip(*names)).alias("t", "b")).select(
+        F.col("b.s").cast("int").alias("s"),
+        "b.block",
+        (F.col("first") + F.col("t")).alias("slot"),
+        "b.release",
+        "b.deadline",
     )
-    # For each slot of a cycle: of the released blocks the one with the earliest deadline.
-    return spark.sql(f"""
-        WITH plan AS (SELECT /*+ REPARTITION({max(1, min(64, len(cycles)))}, first) */ * FROM VALUES {rows}
-                      AS t(first, n, size, quota, used)),
-        run AS (
-          SELECT *, aggregate(
-            sequence(0, size - 1),
-            named_struct('done', transform(quota, q -> 0), 'out', cast(array() AS array<int>)),
-            (st, t) -> element_at(transform(
-              array(array_min(transform(quota, (q, i) -> named_struct(
-                'due', if(st.done[i] < q AND (cast(st.done[i] AS bigint) * size) div q <= t,
-                          (cast(st.done[i] + 1 AS bigint) * size + q - 1) div q, 9223372036854775807L),
-                's', i)))),
-              p -> named_struct('done', transform(st.done, (d, i) -> if(i = p.s, d + 1, d)),
-                                'out', concat(st.out, array(p.s)))), 1),
-            st -> st.out) AS order_
-          FROM plan),
-        one AS (SELECT first, n, size, quota, used, posexplode(order_) AS (t, s) FROM run),
-        nth AS (SELECT first, n, size, quota[s] AS q, used[s] AS before, t, s,
-                       row_number() OVER (PARTITION BY first, s ORDER BY t) - 1 AS k FROM one)
-        SELECT s, before + c * q + k AS block, first + c * size + t AS slot,
-               first + c * size + (cast(k AS bigint) * size) div q AS release,
-               first + c * size + (cast(k + 1 AS bigint) * size + q - 1) div q AS deadline
-        FROM nth LATERAL VIEW explode(sequence(0L, n - 1)) AS c
-    """)
 
 
 def mix_order(
