@@ -73,7 +73,12 @@ def fold(column: str | Column, modulus: int) -> Column:
 
 
 def numbered(
-    df: DataFrame, key: str, order: list[Column], out: str, rows_per_bucket: int | None = None
+    df: DataFrame,
+    key: str,
+    order: list[Column],
+    out: str,
+    rows_per_bucket: int | None = None,
+    along: str | None = None,
 ) -> DataFrame:
     """Number the rows of every ``key`` from 0, without one task per key.
 
@@ -81,14 +86,20 @@ def numbered(
     bucket its first number, and only the rows of a bucket are sorted together.
     Without ``rows_per_bucket`` there are about as many buckets as rows in one,
     so neither a bucket nor the table of sizes grows faster than the root of the rows.
-    ``order`` must tell rows apart; rows equal in it are interchangeable.
+    ``order`` must tell rows apart; rows equal in it are interchangeable. Numbers
+    follow ``order`` only within a bucket, unless ``along`` names a column of
+    whole numbers that never falls in that order: buckets are then ranges of it.
     """
     from pyspark.sql import Window
 
     p = without(df)
     rows = df.count()
     buckets = max(1, -(-rows // (rows_per_bucket or max(512, isqrt(rows)))))
-    dealt = df.withColumn(f"{p}_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    bucket = F.pmod(F.xxhash64(*order), F.lit(buckets))
+    if along and rows:
+        low, high = df.agg(F.min(along), F.max(along)).first()
+        bucket = F.expr(f"(`{along}` - {low}L) div {(high - low) // buckets + 1}L")
+    dealt = df.withColumn(f"{p}_b", bucket.cast("int"))
     sizes = dealt.groupBy(key, f"{p}_b").agg(F.count("*").alias(f"{p}_n"))
     before = Window.partitionBy(key).orderBy(f"{p}_b").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select(

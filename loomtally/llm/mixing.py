@@ -149,13 +149,20 @@ def mix_order(
     )
 
 
-def interleave(
-    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options
+def placed(
+    docs: DataFrame,
+    slot: str,
+    place: str,
+    weights: dict[str | None, float] | None = None,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    **options,
 ) -> DataFrame:
-    """The rows of ``docs``, all of them, partitioned and sorted in the order of the mixture."""
+    """``docs``, all rows, with two columns more: the slot and the place within it that the mixture gives a row."""
     p = without(docs)
-    found = mix_order(docs, None, id_col, source_col, text_col, **options)
-    place = found.select(
+    found = mix_order(docs, weights, id_col, source_col, text_col, **options)
+    at = found.select(
         F.col("doc_id").alias(f"{p}_i"), F.col("source").alias(f"{p}_s"), F.col("text_hash").alias(f"{p}_t"),
         F.col("again").alias(f"{p}_g"), F.col("slot").alias(f"{p}_slot"), F.col("place").alias(f"{p}_place"),
     )
@@ -168,9 +175,24 @@ def interleave(
         & (F.col(f"{p}_h") == F.col(f"{p}_t"))
         & (F.col(f"{p}_a") == F.col(f"{p}_g"))
     )
+    return marked.join(at, same).select(
+        *docs.columns, F.col(f"{p}_slot").alias(slot), F.col(f"{p}_place").alias(place)
+    )
+
+
+def interleave(
+    docs: DataFrame,
+    weights: dict[str | None, float] | None = None,
+    id_col: str = "doc_id",
+    source_col: str = "source",
+    text_col: str = "text",
+    **options,
+) -> DataFrame:
+    """The rows of ``docs``, all of them, partitioned and sorted in the order of the mixture."""
+    p = without(docs)
+    found = placed(docs, f"{p}_slot", f"{p}_place", weights, id_col, source_col, text_col, **options)
     return (
-        marked.join(place, same)
-        .repartitionByRange(f"{p}_slot", f"{p}_place")
+        found.repartitionByRange(f"{p}_slot", f"{p}_place")
         .sortWithinPartitions(f"{p}_slot", f"{p}_place")
         .select(*docs.columns)
     )

@@ -17,9 +17,10 @@ from bisect import bisect_left, bisect_right, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
+from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtally.llm.common import materialize, numbered, ship
@@ -234,6 +235,48 @@ def _places(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int,
     return out
 
 
+def _seats(spark: SparkSession, patterns: list[tuple[tuple[int, ...], int]]) -> DataFrame:
+    """A row per place of the solution: w, sequence, at, share, step.
+
+    ``share`` is how far along the sequences of its pattern a place's is, from 0 to 1.
+    """
+    most = max(1024, isqrt(sum(n for _, n in patterns)))
+    rows, sequence = [], 0
+    for items, times in patterns:
+        offset, held = 0, []
+        for w, k in sorted(Counter(items).items(), reverse=True):
+            held.append((w, k, offset))
+            offset += k * w
+        rows += [(sequence, i, min(most, times - i), times, held) for i in range(0, times, most)]
+        sequence += times
+    schema = "first long, i long, n long, times long, held array<struct<w:long,k:long,at:long>>"
+    made = spark.createDataFrame(rows, schema).repartition(max(1, min(64, len(rows))), "first", "i")
+    each = made.select("first", "times", "held", F.explode(F.expr("sequence(i, i + n - 1)")).alias("j"))
+    lengths = each.select("first", "times", "j", F.explode("held").alias("h"))
+    return lengths.select("*", F.explode(F.expr("sequence(0L, h.k - 1)")).alias("c")).selectExpr(
+        "h.w AS w",
+        "first + j AS sequence",
+        "h.at + c * h.w AS at",
+        "(j + 0.5D) / times AS share",
+        "cast((j + 0.5D) / times * 1073741824 AS long) AS step",
+    )
+
+
+def _pack_in_order(pieces: DataFrame, patterns: list[tuple[tuple[int, ...], int]], names: list[str]) -> DataFrame:
+    """Deals pieces in the order of ``names`` and numbers sequences by where their tokens stand in it, on average."""
+    order = [F.col(c) for c in (*names, "doc_id", "piece", "ids_crc32", "start")]
+    dealt = numbered(pieces, "length", order, "number", along=names[0])
+    # Every pattern takes its share of each stretch of the order, so that the pieces of a sequence stand near each other.
+    seats = numbered(_seats(pieces.sparkSession, patterns), "w", [F.col(c) for c in ("share", "sequence", "at")], "seat", along="step")
+    held = materialize(dealt.join(seats, (F.col("length") == F.col("w")) & (F.col("number") == F.col("seat"))))
+    turn = held.groupBy("sequence").agg((F.sum(F.col(names[0]) * F.col("length")) / F.sum("length")).alias("turn"))
+    turn = turn.select(F.lit(0).alias("all"), "sequence", "turn", F.floor("turn").alias("step"))
+    turn = numbered(turn, "all", [F.col("turn"), F.col("sequence")], "sequence_id", along="step")
+    return held.join(turn.select("sequence", "sequence_id"), "sequence").select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("at").alias("offset")
+    )
+
+
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -241,34 +284,43 @@ def pack(
     size: int = 1024,
     end_id: int = 2,
     vocabulary: str | None = None,
+    order: list[str] | None = None,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids and then ``end_id``; a null or empty text is
     ``end_id`` alone. Only documents longer than ``size`` are cut, the first
     piece taking what does not fill a sequence. Rows that repeat an id are
-    packed each for itself. An empty table gives no rows.
+    packed each for itself. An empty table gives no rows. ``order`` names columns
+    of ``docs``, the first of whole numbers: pieces of one length are dealt, and
+    sequences numbered, in that order. Without it their order means nothing.
     """
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    names = [f"order_{i}" for i in range(len(order or []))]
+    kinds = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(names, order or [], strict=True))
+    by = [F.col(c).alias(n) for n, c in zip(names, order or [], strict=True)]
+    rows = docs.select(F.col(id_col).alias("doc_id"), *by, F.col(text_col).alias("text"))
     pieces = materialize(
         rows.mapInArrow(
             _pieces(size, end_id, vocabulary),
-            f"doc_id {kind}, piece int, start long, length long, ids_crc32 long",
+            f"doc_id {kind}, {kinds}piece int, start long, length long, ids_crc32 long",
         )
     )
     counts = dict(pieces.groupBy("length").count().collect())  # at most ``size`` rows
-    places = _places(solve(counts, size))
+    patterns = solve(counts, size)
+    if names:
+        return _pack_in_order(pieces, patterns, names)
+    places = _places(patterns)
     schema = "w long, first long, numbers long, sequence long, each long, at long"
     # At most a few places for each of ``size`` lengths, whatever the number of documents.
     place = F.broadcast(spark.createDataFrame(places, schema))
-    order = [F.col(c) for c in ("doc_id", "piece", "ids_crc32", "start")]
+    by = [F.col(c) for c in ("doc_id", "piece", "ids_crc32", "start")]
     held = (F.col("number") >= F.col("first")) & (F.col("number") < F.col("first") + F.col("numbers"))
     nth = F.col("number") - F.col("first")
     return (
-        numbered(pieces, "length", order, "number")
+        numbered(pieces, "length", by, "number")
         .join(place, (F.col("length") == F.col("w")) & held)
         .select(
             "doc_id",
