@@ -30,6 +30,7 @@ _CONTEXT = re.compile(
     r"|auth(?:orization)?|bearer|credentials?)[\"']?\x20{0,3}(?:=>|:=|[:=]|\x20)\x20{0,3}[\"']?"
     r"(?:bearer\x20)?([^\s\"'<>,;]{6,})"
 )
+_REACH = 24  # no cue with what parts it from its value is longer
 
 # Common words of chosen passwords, most usual first.
 WORDS = """
@@ -117,17 +118,34 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _is_dear(value: str, least: float, longest: int) -> bool:
+    cost = 0.0
+    for i in range(0, len(value), longest):
+        cost += guess_cost(value[i : i + longest])
+        if cost >= least:
+            return True
+    return False
+
+
 def value_spans(text: str, least: float, longest: int = 256) -> list[tuple[int, int, str]]:
     """Credential values whose guess cost is 10**least or more.
 
-    A value longer than ``longest`` is costed in stretches of that size, which
-    are added up: its work stays in proportion to its length.
+    A value may itself be a cue, as in ``auth token: ...``. So the search goes on
+    at the start of a cheap value, and within reach of a cue before the end of a
+    dear one; what lies inside a span that was found adds none. A value longer
+    than ``longest`` is costed in stretches of that size, which are added up: its
+    work stays in proportion to its length.
     """
-    out = []
-    for m in _CONTEXT.finditer(text):
-        v = m.group(1)
-        if sum(guess_cost(v[i : i + longest]) for i in range(0, len(v), longest)) >= least:
-            out.append((m.start(1), m.end(1), "value"))
+    out: list[tuple[int, int, str]] = []
+    m = _CONTEXT.search(text)
+    while m:
+        start, end = m.span(1)
+        at = start
+        if not out or end > out[-1][1]:
+            if _is_dear(text[start:end], least, longest):
+                out.append((start, end, "value"))
+                at = max(start, end - _REACH)
+        m = _CONTEXT.search(text, at)
     return out
 
 
