@@ -153,7 +153,7 @@ def events(found: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     )
     tool_result = result.select(
         *who, V.text(b, "tool_use_id", 256).alias("tool_use_id"), is_error.alias("is_error"), "denial_kind",
-        F.when(is_error | F.col("denial_kind").isNotNull(), T.error_category(F.col("denial_kind"), said)).alias("error_category"),
+        F.when(is_error | F.col("denial_kind").isNotNull(), T.error_category(F.col("denial_kind"), said, T.ERROR_CHARS)).alias("error_category"),
     )
 
     spoken = F.filter(blocks, lambda x: V.any_text(x, "type") == "text")

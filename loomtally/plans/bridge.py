@@ -121,14 +121,14 @@ def accounting(spark: SparkSession, sf_dir: str) -> Accounting:
 
 #: The same views, and the rules of the accounting, as DuckDB SQL: the oracle of the registered queries.
 ORACLE = """
-WITH ev AS (
+WITH ev AS MATERIALIZED (
   SELECT event_id, user_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
          CAST(floor(value * 100) AS BIGINT) AS outp, epoch_us(ts) // 1000 AS ms FROM events),
-fl AS (
+fl AS MATERIALIZED (
   SELECT DISTINCT user_id AS file_idx, 'p' || (user_id % 7) || '/s' || user_id AS rel_path,
     CASE user_id % 4 WHEN 2 THEN 'subagent' WHEN 3 THEN 'workflow_agent' ELSE 'main' END AS file_class,
     CASE user_id % 4 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS depth FROM ev),
-obs AS (
+obs AS MATERIALIZED (
   SELECT ev.*, user_id AS file_idx, event_id AS line_no, 's' || user_id AS session_id, file_class, depth, rel_path,
     'v' || (event_id - event_id % 2) AS uuid, 'm' || (event_id - event_id % 3) AS pk,
     CASE WHEN event_id % 11 = 0 THEN 'r' || (event_id % 2) WHEN event_id % 13 = 0 THEN NULL ELSE 'r0' END AS rid,
@@ -141,7 +141,7 @@ obs AS (
     '/w/p' || (user_id % 7) || CASE WHEN event_id % 4 = 0 THEN '/sub' ELSE '' END AS cwd
   FROM ev JOIN fl ON fl.file_idx = ev.user_id),
 keyed0 AS (SELECT *, min(rid) OVER (PARTITION BY pk) AS low, max(rid) OVER (PARTITION BY pk) AS high FROM obs),
-keyed AS (
+keyed AS MATERIALIZED (
   SELECT *, coalesce(low <> high, false) AS conflict,
     CASE WHEN coalesce(low <> high, false) THEN pk || '|' || coalesce(rid, low) ELSE pk END AS final_key FROM keyed0),
 price(model, has_fast, geo, r_input, r_5m, r_1h, r_read, r_out, f_input, f_5m, f_1h, f_read, f_out) AS (VALUES
@@ -172,8 +172,8 @@ valued AS (
   SELECT *, coalesce(t_in * (q_in * g // 10), 0) AS n_in, coalesce(t_out * (q_out * g // 10), 0) AS n_out,
     coalesce(w5 * (q_5m * g // 10), 0) AS n_5m, coalesce(w1 * (q_1h * g // 10), 0) AS n_1h,
     coalesce((w5 + w1) * (q_5m * g // 10), 0) AS n_all5, coalesce(t_read * (q_read * g // 10), 0) AS n_read FROM rates),
-parts AS (SELECT *, n_in + n_out + n_5m + n_1h + n_read AS n_part FROM valued),
-line AS (
+parts AS MATERIALIZED (SELECT *, n_in + n_out + n_5m + n_1h + n_read AS n_part FROM valued),
+line AS MATERIALIZED (
   SELECT event_id, sum(t_in) AS input, sum(t_out) AS output, sum(w5) AS cw5m, sum(w1) AS cw1h, sum(t_read) AS cache_read,
     sum(n_in) AS nano_input, sum(n_out) AS nano_output, sum(n_5m) AS nano_cw5m, sum(n_1h) AS nano_cw1h,
     sum(n_read) AS nano_read, sum(n_part) + any_value(web) * 10000000 AS nano,
@@ -187,20 +187,20 @@ launch AS (
   SELECT session_id, arg_min(cwd, row(CASE WHEN side THEN 1 ELSE 0 END, ms, depth, rel_path, line_no)) AS home FROM obs GROUP BY 1),
 chars AS (
   SELECT final_key, sum(c) AS visible_chars FROM (SELECT final_key, uuid, max(outp * 3) AS c FROM keyed GROUP BY 1, 2) GROUP BY 1),
-resp AS (
+resp AS MATERIALIZED (
   SELECT r.*, l.* EXCLUDE (event_id), visible_chars, home,
     fast_mode AND top_model IN ('claude-opus-5') AS fast, us AND top_model NOT IN ('claude-haiku-4-5', 'other-model') AS geo_us,
     CASE WHEN cwd <> home AND starts_with(cwd, home || '/') THEN home || '/' || split_part(substr(cwd, length(home) + 2), '/', 1)
       ELSE home END AS project_key
   FROM ranked r JOIN line l USING (event_id) JOIN chars USING (final_key) JOIN launch USING (session_id) WHERE rn = 1),
-wparts AS (SELECT p.*, r.ts_start, r.fast, r.geo_us, r.project_key FROM parts p JOIN resp r ON r.event_id = p.event_id),
+wparts AS MATERIALIZED (SELECT p.*, r.ts_start, r.fast, r.geo_us, r.project_key FROM parts p JOIN resp r ON r.event_id = p.event_id),
 act0 AS (
   SELECT *, CASE WHEN event_id % 17 <> 0 THEN 'u' || (event_id - event_id % 2) END AS auid FROM obs),
-act AS (
+act AS MATERIALIZED (
   SELECT ms, session_id, file_idx, file_class, line_no FROM act0 WHERE auid IS NULL
   UNION ALL SELECT ms, session_id, file_idx, file_class, line_no FROM (
     SELECT *, row_number() OVER (PARTITION BY auid ORDER BY depth, rel_path, line_no DESC) AS rn FROM act0 WHERE auid IS NOT NULL) WHERE rn = 1),
-prm AS (SELECT ms, session_id, file_class FROM obs WHERE event_type = 'signup'),
+prm AS MATERIALIZED (SELECT ms, session_id, file_class FROM obs WHERE event_type = 'signup'),
 uses AS (
   SELECT * FROM (SELECT *, 't' || (event_id - event_id % 2) AS id,
     row_number() OVER (PARTITION BY event_id - event_id % 2 ORDER BY depth, rel_path, line_no DESC) AS rn
@@ -210,7 +210,7 @@ results AS (
     SELECT *, 't' || (event_id - event_id % 2) AS id,
       row_number() OVER (PARTITION BY event_id - event_id % 2 ORDER BY depth, rel_path, line_no DESC) AS rn
     FROM obs WHERE event_type IN ('error', 'purchase')) WHERE rn = 1),
-calls AS (
+calls AS MATERIALIZED (
   SELECT u.*, CASE k % 6 WHEN 0 THEN 'Bash' WHEN 1 THEN 'Edit' WHEN 2 THEN 'Write' WHEN 3 THEN 'Read' WHEN 4 THEN 'WebFetch' ELSE 'mcp__x__y' END AS name,
     sha256('/w/p' || (user_id % 7) || '/f' || (k % 20)) AS path_hash,
     CASE WHEN r.id IS NULL THEN 'unpaired' WHEN r.denied THEN 'denied' WHEN r.is_error THEN CASE WHEN k % 6 = 0 THEN 'shell_exit' ELSE 'failed' END ELSE 'ok' END AS status,

@@ -33,32 +33,31 @@ def resolve_roots(candidates: Iterable[str], only: str | None = None) -> tuple[l
     return list(dict.fromkeys(found)), missing
 
 
+# The shapes of a path below a root, without the file's extension, and the class of each; the first that fits.
+SHAPES = (
+    ("main", r"^[^/]+/[^/]+$"),
+    ("subagent", r"^[^/]+/[^/]+/subagents/[^/]+$"),
+    ("workflow_agent", r"^[^/]+/[^/]+/subagents/workflows/[^/]+/agent-[^/]*$"),
+    ("workflow_journal", r"^[^/]+/[^/]+/subagents/workflows/([^/]+)/(?:journal|\1)$"),
+)
+EXTENSIONS = (
+    ("compressed", r"\.jsonl(\.superseded-[^/]+)?\.zst$"),
+    ("read", r"\.jsonl(\.superseded-[^/]+)?$"),
+)
+
+
 def with_class(df: DataFrame, rel_path: str = "rel_path") -> DataFrame:
     """Adds file_class and depth, or the reason why a path is skipped, from its shape alone."""
-    parts = F.filter(F.split(F.replace(F.col(rel_path), F.lit("\\"), F.lit("/")), "/"), lambda p: (p != "") & (p != "."))
-    name = F.element_at(parts, -1)
-    stem = F.when(name.startswith(".orphaned-"), F.substring(name, 11, 1 << 20)).otherwise(name)
-    base = F.substring_index(stem, ".jsonl", 1)
-    n = F.size(parts)
-
-    def at(i: int) -> Column:
-        return F.get(parts, F.lit(i))
-
-    side = at(2) == "subagents"
-    flow = (n == 6) & side & (at(3) == "workflows")
-    kind = (
-        F.when(n == 2, "main")
-        .when((n == 4) & side, "subagent")
-        .when(flow & base.startswith("agent-"), "workflow_agent")
-        .when(flow & ((base == "journal") | (base == at(4))), "workflow_journal")
-    )
-    reason = (
-        F.when(name.isNull(), "unknown-shape")
-        .when(name.rlike(r"\.jsonl(\.superseded-[^/]+)?\.zst$"), "compressed")
-        .when(~(name.endswith(".jsonl") | name.rlike(r"\.jsonl\.superseded-[^/]+$")), "unknown-extension")
-        .when((base == "") | kind.isNull(), "unknown-shape")
-    )
-    depth = F.coalesce(*(F.when(F.col("file_class") == k, F.lit(d)) for k, d in DEPTHS.items()))
+
+    def first_of(c: Column, table: tuple[tuple[str, str], ...]) -> Column:
+        return F.coalesce(*(F.when(c.rlike(pattern), name) for name, pattern in table))
+
+    clean = F.regexp_replace(F.translate(F.col(rel_path), "\\", "/"), r"(^|/)(?:\.?/)+", "$1")
+    whole = F.regexp_replace(clean, r"(^|/)\.orphaned-([^/]*)$", "$1$2")
+    kind = first_of(F.regexp_replace(whole, r"\.jsonl[^/]*$", ""), SHAPES)
+    ending = F.coalesce(first_of(whole, EXTENSIONS), F.lit("unknown-extension"))
+    reason = F.when(whole == "", "unknown-shape").when(ending != "read", ending).when(kind.isNull(), "unknown-shape")
+    depth = F.element_at(F.create_map(*(F.lit(x) for pair in DEPTHS.items() for x in pair)), F.col("file_class"))
     return (
         df.withColumn("skip_reason", reason)
         .withColumn("file_class", F.when(F.col("skip_reason").isNull(), kind))

@@ -95,7 +95,7 @@ def read_lines(
         out = out.unionByName(
             spark.read.format("transcript_lines").option("files", large).option("longest", longest).load()
         )
-    return out.withColumn("text", F.regexp_replace("text", "\r$", ""))
+    return out.withColumn("text", F.regexp_replace("text", r"\r\z", ""))
 
 
 def records(lines: DataFrame) -> DataFrame:
