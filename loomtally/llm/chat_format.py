@@ -1,8 +1,10 @@
 """Chat formatting: record layouts are told by their field paths and mapped to turns.
 
-The nested field paths of a record (a VARIANT) are hashed; the digest selects a
-declarative mapping that names where roles and texts are. Turns are rendered by
-a template whose marks cannot occur inside texts, and can be read back.
+The nested field paths of a record (a VARIANT) that a layout asks for are hashed;
+where the digest is the layout's fingerprint, its declarative mapping says where
+roles and texts are. Fields that no layout asks for don't matter. Turns are
+rendered by a template whose marks cannot occur inside texts, and can be read
+back from the formatted text alone, as can what the loss counts.
 """
 
 from __future__ import annotations
@@ -20,100 +22,104 @@ TURNS = "array<struct<role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """Field paths (``[]`` marks an array) and the turns they hold.
+    """Field paths a record must have (``[]`` marks an array) and the turns they hold.
 
-    ``turns`` lists (role, text path); ``each`` names an array and the fields of
-    role and text in its items. ``roles`` renames roles.
+    ``turns`` lists (role, path): a path that the record lacks gives no turn, so
+    those that ``paths`` does not name are optional. ``own`` names the fields of
+    role and text of a record that is one turn itself; ``each`` an array of such
+    records, told by the layouts that have ``own``.
     """
 
     paths: tuple[str, ...]
     turns: tuple[tuple[str, str], ...] = ()
-    each: tuple[str, str, str] | None = None
-    roles: tuple[tuple[str, str], ...] = ()
-    own_role: tuple[str, str] | None = None
+    own: tuple[str, str] | None = None
+    each: str | None = None
 
 
+def _exchange(asked: str, answered: str, *between: str) -> Layout:
+    inner = tuple(("user", x) for x in between)
+    return Layout((answered, asked), (("system", "system"), ("user", asked), *inner, ("assistant", answered)))
+
+
+#: In this order: the first whose fingerprint the record has is its layout.
 LAYOUTS = (
-    Layout(("role", "text"), own_role=("role", "text")),
-    Layout(("content", "role"), own_role=("role", "content")),
-    Layout(("completion", "prompt"), (("user", "prompt"), ("assistant", "completion"))),
-    Layout(("prompt", "response"), (("user", "prompt"), ("assistant", "response"))),
-    Layout(("prompt", "response", "system"), (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
-    Layout(("answer", "question"), (("user", "question"), ("assistant", "answer"))),
-    Layout(("instruction", "output"), (("user", "instruction"), ("assistant", "output"))),
-    Layout(("input", "instruction", "output"), (("user", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Layout(("messages[].content", "messages[].role"), each=("messages", "role", "content")),
-    Layout(("messages[].role", "messages[].text"), each=("messages", "role", "text")),
-    Layout(
-        ("conversations[].from", "conversations[].value"),
-        each=("conversations", "from", "value"),
-        roles=(("human", "user"), ("gpt", "assistant")),
-    ),
+    Layout(("messages[]",), each="messages"),
+    Layout(("conversations[]",), each="conversations"),
+    Layout(("conversation[]",), each="conversation"),
+    Layout(("turns[]",), each="turns"),
+    Layout(("content", "role"), own=("role", "content")),
+    Layout(("role", "text"), own=("role", "text")),
+    Layout(("from", "value"), own=("from", "value")),
+    _exchange("instruction", "output", "input"),
+    _exchange("instruction", "response", "input", "context"),
+    _exchange("prompt", "completion"),
+    _exchange("prompt", "response"),
+    _exchange("question", "answer"),
+    _exchange("input", "output"),
 )
+ROLES = {"human": "user", "gpt": "assistant", "model": "assistant", "bot": "assistant"}
 
 
-def signature(paths: tuple[str, ...]) -> str:
-    """The shape that Spark's variant schema has for these paths, without scalar types."""
-    tree: dict = {}
-    for path in paths:
-        at = tree
-        for part in path.split("."):
-            at = at.setdefault(part, {})
+def fingerprint_of(paths: tuple[str, ...]) -> str:
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
-    def shape(node: dict) -> str:
-        if not node:
-            return "*"
-        fields = []
-        for name in sorted(node, key=lambda x: x.removesuffix("[]")):
-            inner = shape(node[name])
-            fields.append(f"{name[:-2]}: ARRAY<{inner}>" if name.endswith("[]") else f"{name}: {inner}")
-        return f"OBJECT<{', '.join(fields)}>"
 
-    return shape(tree)
+def _part(record: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(record, f"$.{path}", kind)
 
 
-def fingerprint_of(paths: tuple[str, ...]) -> str:
-    return hashlib.sha256(signature(paths).encode()).hexdigest()
+def _has(record: Column, path: str) -> Column:
+    if path.endswith("[]"):
+        return _part(record, path[:-2], "array<variant>").isNotNull()
+    return _part(record, path).isNotNull()
 
 
-def fingerprint(record: Column) -> Column:
-    """SHA-256 of a variant's nested field paths; scalar types don't count."""
-    shape = F.regexp_replace(F.schema_of_variant(record), r"(?<=: |<)[A-Z]+(\([0-9,]+\))?(?=[,>])", "*")
-    return F.sha2(shape, 256)
+def fingerprint(record: Column, paths: tuple[str, ...]) -> Column:
+    """SHA-256 of those nested field paths among ``paths`` that a variant has; a field that holds null is there."""
+    found = F.array(*(F.when(_has(record, p), F.lit(p)) for p in sorted(paths)))
+    return F.sha2(F.array_join(found, "\n"), 256)
 
 
-def _turn(role: Column, text: Column) -> Column:
-    return F.struct(
-        F.coalesce(role, F.lit("")).cast("string").alias("role"), F.coalesce(text, F.lit("")).cast("string").alias("text")
-    )
+def _said(value: Column) -> Column:
+    """A value as text: parts of a list one after another, an object's own ``text`` or else its JSON; null is empty."""
 
+    def plain(x: Column) -> Column:
+        return F.coalesce(F.try_variant_get(x, "$.text", "string"), F.try_variant_get(x, "$", "string"))
 
-def turns(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """The turns of a record, by the mapping of its fingerprint; null if no mapping is known."""
-    found = fingerprint(record)
-    out = F.lit(None).cast(TURNS)
-    for layout in layouts:
-        def field(path: str, of: Column = record) -> Column:
-            return F.try_variant_get(of, f"$.{path}", "string")
+    parts = F.try_variant_get(value, "$", "array<variant>")
+    listed = F.array_join(F.transform(parts, lambda x: F.coalesce(plain(x), F.lit(""))), "\n")
+    return F.coalesce(F.when(parts.isNotNull(), listed).otherwise(plain(value)), F.lit(""))
 
-        def renamed(role: Column, names: tuple = layout.roles) -> Column:
-            for old, new in names:
-                role = F.when(role == old, new).otherwise(role)
-            return role
 
-        if layout.each:
-            name, role, text = layout.each
-            items = F.try_variant_get(record, f"$.{name}", "array<variant>")
+def _turn(role: Column, text: Column) -> Column:
+    role = F.coalesce(role, F.lit(""))
+    names = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
+    return F.struct(F.coalesce(F.try_element_at(names, role), role).alias("role"), text.alias("text"))
+
+
+def _own_turn(record: Column, layouts: tuple[Layout, ...]) -> Column:
+    """The turn that a record is; one of no known layout has no role and its JSON as text."""
+    out = _turn(F.lit(""), F.coalesce(F.try_variant_get(record, "$", "string"), F.lit("")))
+    for layout in reversed([x for x in layouts if x.own]):
+        role, text = layout.own
+        here = _turn(_part(record, role, "string"), _said(_part(record, text)))
+        out = F.when(fingerprint(record, layout.paths) == fingerprint_of(layout.paths), here).otherwise(out)
+    return out
 
-            def turn(m: Column) -> Column:
-                return _turn(renamed(field(role, m)), field(text, m))  # noqa: B023 (used at once)
 
-            value = F.transform(items, turn)
-        elif layout.own_role:
-            value = F.array(_turn(field(layout.own_role[0]), field(layout.own_role[1])))
+def turns(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """The turns of a record, by the mapping of its fingerprint; null if no layout has it."""
+    out = F.lit(None).cast(TURNS)
+    for layout in reversed(layouts):
+        if layout.each:
+            items = _part(record, layout.each, "array<variant>")
+            value = F.transform(items, lambda m: _own_turn(m, layouts))
+        elif layout.own:
+            value = F.array(_own_turn(record, (layout,)))
         else:
-            value = F.array(*(_turn(F.lit(role), field(path)) for role, path in layout.turns))
-        out = F.when(found == fingerprint_of(layout.paths), value).otherwise(out)
+            found = (F.when(_has(record, path), _turn(F.lit(role), _said(_part(record, path)))) for role, path in layout.turns)
+            value = F.array_compact(F.array(*found))
+        out = F.when(fingerprint(record, layout.paths) == fingerprint_of(layout.paths), value).otherwise(out)
     return out
 
 
@@ -135,55 +141,75 @@ def _role_in(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("\\g"), F.lit(">")))
 
 
-def segments(turns_col: Column) -> Column:
-    """Stretches of the formatted text in order, each with whether the loss counts it."""
-    none = F.lit(False)
+def formatted(turns_col: Column) -> Column:
+    """The turns as text; what the loss counts is what stands in the turns of an assistant."""
 
     def one(t: Column) -> Column:
-        return F.array(
-            F.struct(F.concat(F.lit("<turn "), _role_out(t["role"]), F.lit(">")).alias("text"), none.alias("loss")),
-            F.struct(escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss")),
-            F.struct(F.lit("</turn>\n").alias("text"), none.alias("loss")),
-        )
+        return F.concat(F.lit("<turn "), _role_out(t["role"]), F.lit(">"), escape(t["text"]), F.lit("</turn>\n"))
 
-    return F.flatten(F.transform(turns_col, one))
+    return F.array_join(F.transform(turns_col, one), "")
 
 
 def format_conversations(records: DataFrame, conv_col: str, order_cols: list[str], record: Column) -> DataFrame:
-    """One row per conversation: conv_id, formatted, segments, unmapped.
+    """One row per conversation: conv_id, formatted, unmapped, rejected.
 
     ``record`` is a VARIANT of any known layout, holding one turn or many;
     records of a conversation follow each other by ``order_cols`` (nulls first),
-    ties by their turns. A null role or text is empty. A record whose layout is
-    not known adds no turn and is counted in ``unmapped``. Rows with a null
-    conversation id form one conversation. A conversation is one training
-    sample, so its turns meet in one row.
+    ties by their turns; repeated rows are turns of their own. A null role or
+    text is empty. A record whose layout is not known adds no turn: it is counted
+    in ``unmapped`` and kept whole, as JSON, in ``rejected``. A null record is
+    one too. Rows with a null conversation id form one conversation. A conversation
+    is one training sample, so its turns meet in one row. Other columns are ignored;
+    an empty table gives no rows.
     """
     p = without(records)
+    own = turns(record)
     rows = records.select(
-        F.col(conv_col).alias("conv_id"), *(F.col(c).alias(f"{p}_{i}") for i, c in enumerate(order_cols)), turns(record).alias("turns")
+        F.col(conv_col).alias("conv_id"),
+        *(F.col(c).alias(f"{p}_{i}") for i, c in enumerate(order_cols)),
+        own.alias("turns"),
+        F.coalesce(F.try_variant_get(record, "$", "string"), F.lit("null")).alias("json"),
     )
+    lost = F.col("turns").isNull()
     held = rows.groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct(*(f"{p}_{i}" for i in range(len(order_cols))), "turns"))).alias("all"),
-        F.count_if(F.col("turns").isNull()).alias("unmapped"),
+        F.count_if(lost).alias("unmapped"),
+        F.array_sort(F.collect_list(F.when(lost, F.col("json")))).alias("rejected"),
     )
     flat = F.flatten(F.transform("all", lambda x: F.coalesce(x["turns"], F.array().cast(TURNS))))
-    made = held.select("conv_id", "unmapped", segments(flat).alias("segments"))
-    text = F.array_join(F.transform("segments", lambda s: s["text"]), "")
-    return made.select("conv_id", text.alias("formatted"), "segments", "unmapped")
+    return held.select("conv_id", formatted(flat).alias("formatted"), "unmapped", "rejected")
 
 
 TURN_PATTERN = r"<turn ([^>]*+)>([^<]*+)</turn>\n"
 
 
-def read_back(formatted: Column) -> Column:
+def read_back(text: Column) -> Column:
     """The turns that a formatted text holds."""
-    roles = F.regexp_extract_all(formatted, F.lit(TURN_PATTERN), F.lit(1))
-    texts = F.regexp_extract_all(formatted, F.lit(TURN_PATTERN), F.lit(2))
+    roles = F.regexp_extract_all(text, F.lit(TURN_PATTERN), F.lit(1))
+    texts = F.regexp_extract_all(text, F.lit(TURN_PATTERN), F.lit(2))
     return F.zip_with(roles, texts, lambda r, t: F.struct(_role_in(r).alias("role"), unescape(t).alias("text")))
 
 
-def read_loss(segments_col: Column) -> Column:
-    """The texts under the loss mask, unescaped, one after another."""
-    under = F.filter(segments_col, lambda s: s["loss"])
-    return F.array_join(F.transform(under, lambda s: unescape(s["text"])), "")
+def read_loss(text: Column) -> Column:
+    """What the loss counts in a formatted text, unescaped, one turn after another."""
+    own = F.regexp_extract_all(text, F.lit(r"<turn assistant>([^<]*+)</turn>\n"), F.lit(1))
+    return F.array_join(F.transform(own, unescape), "")
+
+
+def loss_spans(text: Column) -> Column:
+    """Where in a formatted text the loss counts: (start, end) in code points of each assistant turn's text."""
+    parts = F.transform(
+        F.regexp_extract_all(text, F.lit(r"(?s)(<turn [^>]*+>[^<]*+</turn>\n)"), F.lit(1)),
+        lambda t: F.struct(
+            F.length(t).alias("n"),
+            F.when(t.startswith("<turn assistant>"), F.length(t) - F.lit(len("<turn assistant></turn>\n"))).alias("own"),
+        ),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        first = a["at"] + len("<turn assistant>")
+        span = F.array(F.struct(first.alias("start"), (first + x["own"]).alias("end")))
+        return F.struct((a["at"] + x["n"]).alias("at"), F.when(x["own"].isNull(), a["out"]).otherwise(F.concat(a["out"], span)).alias("out"))
+
+    return F.aggregate(parts, start, step, lambda a: a["out"])

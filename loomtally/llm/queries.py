@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_pipeline import run
 from loomtally.llm import (
     chat_format,
     exact_dedup,
@@ -52,7 +53,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.to_variant_object(F.struct("role", "text"))
     made = chat_format.format_conversations(rows.unionByName(probe), "conv_id", ["turn"], record)
     turns = chat_format.read_back(F.col("formatted"))
-    loss = chat_format.read_loss(F.col("segments"))
+    loss = chat_format.read_loss(F.col("formatted"))
     lines = F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return made.select(
         "conv_id",
@@ -104,8 +105,6 @@ FROM t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from corpus_pipeline import run
-
     return {
         "op1_imatch_fingerprints": op1_imatch_fingerprints,
         "op2_lm_scoring": op2_lm_scoring,
