@@ -35,25 +35,38 @@ def _folded() -> np.ndarray:
     return out
 
 
-def grams(text: str) -> np.ndarray:
-    """Buckets of the 1- to 3-grams of the letters; other characters are one blank between words."""
-    cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    c = _folded()[cps]
-    if not (c != 32).any():
-        return np.empty(0, dtype=np.int32)
-    c = np.concatenate([[np.uint32(32)], c, [np.uint32(32)]])
-    c = c[np.append(True, (c[1:] != 32) | (c[:-1] != 32))]
-    h = c * np.uint32(0x9E3779B1)
-    out = [h[c != 32]]
-    for order in range(2, ORDERS + 1):
-        h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + c[order - 1 :] * np.uint32(0xC2B2AE3D) + np.uint32(order)
-        out.append(h)
-    return (np.concatenate(out) >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
-
-
-def _pieces(text: str) -> Iterator[str]:
-    for i in range(0, len(text), CHUNK):
-        yield text[max(0, i - ORDERS + 1) : i + CHUNK]
+def letters(text: str, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, int]]:
+    """The letters with one blank between words and at both ends, in stretches, each with how much of it was there before.
+
+    A stretch repeats the last characters of the one before it, so that an n-gram
+    over the border is in one stretch. A text without letters has no stretch.
+    """
+    blank = np.array([32], dtype=np.uint32)
+    tail, known = blank, 0
+    for i in range(0, len(text), chunk):
+        c = _folded()[np.frombuffer(text[i : i + chunk].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        c = c[(c != 32) | (np.append(tail[-1:], c[:-1]) != 32)]
+        if len(c):
+            whole = np.concatenate([tail, c])
+            yield whole, known
+            tail = whole[-(ORDERS - 1) :]
+            known = len(tail)
+    if known and tail[-1] != 32:
+        yield np.concatenate([tail, blank]), known
+
+
+def grams(text: str, chunk: int = CHUNK) -> Iterator[np.ndarray]:
+    """Buckets of the 1- to 3-grams of the letters, whatever ``chunk`` the text is worked through in."""
+    for c, before in letters(text, chunk):
+        h = c * np.uint32(0x9E3779B1)
+        new = h[before:]
+        out = [new[c[before:] != 32]]
+        for order in range(2, ORDERS + 1):
+            h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + c[order - 1 :] * np.uint32(0xC2B2AE3D) + np.uint32(order)
+            out.append(h[max(0, before - order + 1) :])
+        found = np.concatenate(out)
+        if len(found):
+            yield (found >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,8 +74,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lang, text in zip(b.column("lang"), b.column("text"), strict=True):
             total = sums.setdefault(lang.as_py(), np.zeros(1 << BUCKET_BITS, dtype=np.int64))
-            for piece in _pieces(text.as_py() or ""):
-                total += np.bincount(grams(piece), minlength=1 << BUCKET_BITS)
+            for found in grams(text.as_py() or ""):
+                total += np.bincount(found, minlength=1 << BUCKET_BITS)
     for lang, total in sums.items():
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
@@ -71,9 +84,13 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(docs: DataFrame, text: str, lang: str, order: Column, sample_docs: int = 20_000, alpha: float = 0.5):
+def fit(
+    docs: DataFrame, text: str, lang: str, order: Column, sample_docs: int = 20_000, alpha: float = 0.5, most_languages: int = 512
+):
     """(languages, float32 log-probabilities by bucket and language, log-priors).
 
+    More than ``most_languages`` are an error, as the table of them all goes to every task.
+
     ``order`` is a hash by which about ``sample_docs`` labelled rows are taken; all are
     if there are no more. Null languages are not learned from. Class counts are of all
     labelled rows.
@@ -82,7 +99,9 @@ def fit(docs: DataFrame, text: str, lang: str, order: Column, sample_docs: int =
     labelled = docs.where(F.col(lang).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(order, F.lit(1 << 30)).alias("at")
     )
-    priors = dict(labelled.groupBy("lang").count().collect())
+    priors = dict(labelled.groupBy("lang").count().limit(most_languages + 1).collect())
+    if len(priors) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     rows = sum(priors.values())
     if not rows:
         return [], np.zeros((1 << BUCKET_BITS, 0), dtype=np.float32), np.zeros(0)
@@ -124,13 +143,11 @@ def _score(langs: list[str], shared):
                 size = 0
 
         for i, text in enumerate(texts):
-            for piece in _pieces(text or ""):
-                g = grams(piece)
-                if len(g):
-                    known[i] = True
-                    held.append(g)
-                    rows.append(i)
-                    size += len(g)
+            for found in grams(text or ""):
+                known[i] = True
+                held.append(found)
+                rows.append(i)
+                size += len(found)
                 if size > CHUNK:
                     flush()
         flush()
@@ -163,7 +180,9 @@ def predict(docs: DataFrame, model, keep: list[str], text_col: str = "text") ->
     """Columns ``keep`` of every row with lang_pred and score (the posterior, 0 to 1).
 
     A text that is null or has no letter is ``und`` with score 0, as is every
-    text if nothing was learned. No other column is an input.
+    text if nothing was learned. Of languages that are equally likely the first by
+    name is taken. No other column is an input; each row is told for itself, so rows
+    that repeat an id have a row each, and an empty table gives none.
     """
     langs, logp, prior = model
     spark = docs.sparkSession
