@@ -1,10 +1,11 @@
 """Quality scores by attention-based multiple-instance learning.
 
 A document is a bag of passages and only the bag has a label. Every passage is
-encoded, a gated attention learned from the labels weighs the passages, and the
-weighted representation is scored. The model is small and is fitted on a bounded
-sample of labelled documents; every document is scored whole, in numpy, inside
-the tasks that read it.
+encoded by a learned projection of its hashed character trigrams and a few shares
+of kinds of characters; a gated attention learned from the labels weighs the
+passages, and the weighted representation is scored. The model is small and is
+fitted on a bounded sample of labelled rows, each with all its passages; every
+document is scored whole, in numpy, inside the tasks that read it.
 """
 
 from __future__ import annotations
@@ -28,25 +29,40 @@ for _i, _c in enumerate(_CLASSES):
     _CLASS[list(_c)] = _i
 _CLASS[128:] = len(_CLASSES) + 1
 _N = len(_CLASSES) + 2
-FEATURES = _N + 5
+#: Buckets of hashed trigrams of bytes.
+BUCKET_BITS = 8
+TRIGRAMS = 1 << BUCKET_BITS
+FEATURES = _N + 5 + TRIGRAMS
+
+
+def _buckets(b: np.ndarray) -> np.ndarray:
+    """A bucket for the trigram that starts at each byte but the last two."""
+    x = b.astype(np.uint32)
+    h = (x[:-2] << np.uint32(16) | x[1:-1] << np.uint32(8) | x[2:]) * np.uint32(0x9E3779B1)
+    return ((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA77) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
 
 
 def passages(text: bytes) -> np.ndarray:
-    """A row of features for each passage; an empty text has one row of zeros."""
+    """A row of features for each passage; an empty text has one row of zeros.
+
+    A trigram belongs to the passage in which it begins.
+    """
     n = len(text)
     if not n:
         return np.zeros((1, FEATURES), dtype=np.float32)
     m = -(-n // PASSAGE)
     at = np.arange(n) // PASSAGE
-    share = np.bincount(at * _N + _CLASS[np.frombuffer(text, dtype=np.uint8)], minlength=m * _N).reshape(m, _N)
+    raw = np.frombuffer(text, dtype=np.uint8)
+    share = np.bincount(at * _N + _CLASS[raw], minlength=m * _N).reshape(m, _N)
     size = share.sum(axis=1, keepdims=True)
+    grams = np.bincount(at[:-2] * TRIGRAMS + _buckets(raw), minlength=m * TRIGRAMS).reshape(m, TRIGRAMS) if n > 2 else np.zeros((m, TRIGRAMS))
     words = np.empty((m, 3))
     for i in range(m):
         w = text[i * PASSAGE : (i + 1) * PASSAGE].split()
         k = max(1, len(w))
         words[i] = (1 - len(set(w)) / k if w else 0, sum(map(bytes.__eq__, w, w[1:])) / k, k / (size[i, 0] + 1))
     tail = np.column_stack([words, np.log1p(size) / 6, np.full(m, np.log1p(m) / 6)])
-    return np.concatenate([4 * np.sqrt(share / size), tail], axis=1).astype(np.float32)
+    return np.concatenate([4 * np.sqrt(share / size), tail, 4 * np.sqrt(grams / size)], axis=1).astype(np.float32)
 
 
 class GatedAttention:
@@ -101,6 +117,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: i
     rng = np.random.default_rng(seed)
     flat = np.concatenate(bags) if bags else np.zeros((1, FEATURES))
     mean, scale = flat.mean(axis=0), flat.std(axis=0) + 0.05
+    scale[-TRIGRAMS:] += 0.5  # many features, each of which says little
     model = GatedAttention(GatedAttention.start(rng), mean, scale)
     if len(set(labels.tolist())) < 2:
         model.p = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -124,24 +141,20 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 40, batch: i
     return model
 
 
-def _encoded(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for t in b.column("text").cast(pa.binary()):
-                x = passages(t.as_py() or b"")
-                out.append(x[np.linspace(0, len(x) - 1, min(most, len(x))).astype(int)].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(out, pa.binary())], ["label", "bag"])
-
-    return run
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, 16):
+            part = b.slice(i, 16)
+            bags = [passages(t.as_py() or b"").astype(np.float16).tobytes() for t in part.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(bags, pa.binary())], ["label", "bag"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4096, sample_passages: int = 32) -> GatedAttention:
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4096) -> GatedAttention:
     """Learns from about ``sample_docs`` rows of ``labels`` (doc_id, label), all if there are no more.
 
-    The sample goes by a hash of doc_id; at most ``sample_passages`` passages of
-    each document, evenly spaced, are used for fitting. A doc_id labelled more
-    than once counts as 1 if half of its labels do; null labels are left out.
+    The sample goes by a hash of doc_id; of its documents all passages are learned
+    from. A doc_id labelled more than once counts as 1 if half of its labels do;
+    null labels are left out.
     """
     ship(docs.sparkSession)
     own = (
@@ -154,9 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 4096, sample_pass
     picked = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     # About sample_docs ids and labels, whatever the input.
     bags = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    held = bags.select("label", "text").mapInArrow(_encoded(sample_passages), "label double, bag binary").collect()
+    held = bags.select("label", "text").mapInArrow(_encoded, "label double, bag binary").collect()
     held.sort(key=lambda r: (bytes(r["bag"]), r["label"]))
-    xs = [np.frombuffer(bytes(r["bag"]), dtype=np.float32).reshape(-1, FEATURES) for r in held]
+    xs = [np.frombuffer(bytes(r["bag"]), dtype=np.float16).reshape(-1, FEATURES).astype(np.float32) for r in held]
     return train(xs, np.array([r["label"] for r in held]))
 
 
@@ -177,7 +190,11 @@ def _scores(shared):
 
 
 def score(docs: DataFrame, model: GatedAttention, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` and ``score`` (0 to 1) of every row; null and empty texts are scored as an empty passage."""
+    """Columns ``keep`` and ``score`` (0 to 1) of every row; null and empty texts are scored as an empty passage.
+
+    Each row is scored for itself from its text alone: equal texts have equal scores, rows that repeat
+    an id have a row each, and an empty table gives none.
+    """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col(text_col))
