@@ -5,9 +5,15 @@ equal fingerprints form one class, so copies are never paired. Two fingerprints
 within ``budget`` bits agree on at least two of ``budget + 2`` blocks of bits:
 each class goes to the groups of every two blocks, and the trie of a group is
 joined with itself. A pair of trie nodes carries the bits in which their
-prefixes differ and is dropped once they exceed the budget. A group reports a
-spanning forest of its links, never all pairs; components of the whole table
-are then found by alternating large-star and small-star steps.
+prefixes differ and is dropped once they exceed the budget. A group reports
+links that span it, never all pairs; components of the whole table are then
+found by alternating large-star and small-star steps.
+
+``drop_near_copies`` asks for a share of equal five-word shingles. At a
+similarity of 0.8 the fingerprints of long shingles differ in ten of 64 bits or
+so, too many for a join. It therefore groups by the fingerprint of single words,
+where such copies differ in few bits, joins tries of the fingerprints of word
+pairs inside the groups, and confirms the links by the shingles themselves.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtally.llm.common import materialize, ship, text_or_empty, without
@@ -27,15 +33,22 @@ BITS = 64
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     """SimHash of UTF-8 bytes; 0 for a text without words."""
+    return _simhash(text.lower().split(), words, seed)  # bytes: ASCII letters and ASCII white space only
+
+
+def _shingles(w: list[bytes], words: int) -> Iterator[bytes]:
+    """Stretches of ``words`` words; the whole sequence where there are fewer."""
+    return map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else iter([b" ".join(w)])
+
+
+def _simhash(w: list[bytes], words: int, seed: int) -> int:
     import xxhash
 
-    w = text.lower().split()  # bytes: ASCII letters and ASCII white space only
     if not w:
         return 0
     n = max(1, len(w) - words + 1)
     digest = xxhash.xxh64_intdigest
-    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter((digest(s, seed) for s in shingles), dtype=">u8", count=n)
+    h = np.fromiter((digest(s, seed) for s in _shingles(w, words)), dtype=">u8", count=n)
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, n, 1 << 16):
         part = h[i : i + (1 << 16)]
@@ -107,16 +120,40 @@ def _middle(f: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.ndarray) -> n
         lo = np.where(open_ & ~one, mid + 1, lo)
 
 
-def trie_forest(f: np.ndarray, starts: np.ndarray, budget: int, chunk: int = 1 << 17) -> np.ndarray:
-    """Links within groups: for each value the index of its component's first value.
+def _new_links(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links a[i] - b[i] one for each two components that they join."""
+    ra, rb = parent[a], parent[b]
+    keep = ra != rb
+    a, b, ra, rb = a[keep], b[keep], ra[keep], rb[keep]
+    _, first = np.unique(np.minimum(ra, rb) * len(parent) + np.maximum(ra, rb), return_index=True)
+    return a[first], b[first]
 
-    ``f`` holds the groups one after another, each sorted and without repeats;
+
+def trie_links(
+    f: np.ndarray, starts: np.ndarray, budget: int, few: int = 0, chunk: int = 1 << 17
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in ``f`` whose values differ in at most ``budget`` bits, and which span each group's components.
+
+    Within components of up to ``few`` values all such pairs are given. ``f`` holds the groups one after another, each sorted and without repeats;
     ``starts`` holds where each begins. Nodes of the (path-compressed) trie are
     intervals of ``f``. Work waits on a stack in chunks, so memory is bounded,
     and node pairs whose values are already in one component are dropped.
     """
     n = len(f)
     parent = np.arange(n, dtype=np.int64)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def link(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = a[a != b], b[a != b]
+        if few and len(a):
+            size = np.bincount(parent, minlength=n)
+            small = size[parent[a]] + np.where(parent[a] == parent[b], 0, size[parent[b]]) <= few
+            found.append((a[small], b[small]))
+            parent, a, b = _unite(parent, a[small], b[small]), a[~small], b[~small]
+        a, b = _new_links(parent, a, b)
+        found.append((a, b))
+        return _unite(parent, a, b)
+
     ends = np.append(starts[1:], n)
     big = ends - starts > 1
     lo, hi = starts[big].astype(np.int64), ends[big].astype(np.int64)
@@ -127,7 +164,7 @@ def trie_forest(f: np.ndarray, starts: np.ndarray, budget: int, chunk: int = 1 <
             other = g ^ np.uint64(1 << bit)
             at = np.minimum(np.searchsorted(g, other), len(g) - 1)
             hit = np.flatnonzero(g[at] == other)
-            parent = _unite(parent, a + hit, a + at[hit])
+            parent = link(parent, a + hit, a + at[hit])
     stack = [(lo, hi, lo, hi)]
     while stack:
         alo, ahi, blo, bhi = stack.pop()
@@ -139,13 +176,15 @@ def trie_forest(f: np.ndarray, starts: np.ndarray, budget: int, chunk: int = 1 <
         one = (
             (changes[ahi - 1] == changes[alo]) & (changes[bhi - 1] == changes[blo]) & (parent[alo] == parent[blo])
         )
+        if few:
+            one &= np.bincount(parent, minlength=n)[parent[alo]] > few
         sa = _split_bit(f[alo] ^ f[ahi - 1])
         sb = _split_bit(f[blo] ^ f[bhi - 1])
         differ = np.bitwise_count((f[alo] ^ f[blo]) & ~np.maximum(sa, sb))
         go = ~one & (differ <= budget)
         alo, ahi, blo, bhi, sa, sb = (x[go] for x in (alo, ahi, blo, bhi, sa, sb))
         leaf = (ahi - alo == 1) & (bhi - blo == 1)
-        parent = _unite(parent, alo[leaf], blo[leaf])
+        parent = link(parent, alo[leaf], blo[leaf])
         rest = ~leaf
         alo, ahi, blo, bhi, sa, sb = (x[rest] for x in (alo, ahi, blo, bhi, sa, sb))
         if not len(alo):
@@ -168,49 +207,60 @@ def trie_forest(f: np.ndarray, starts: np.ndarray, budget: int, chunk: int = 1 <
                 )
             )
         )
-    return parent
+    return np.concatenate([x[0] for x in found] or [parent[:0]]), np.concatenate([x[1] for x in found] or [parent[:0]])
 
 
-def _group_links(budget: int):
+def _group_links(budget: int, few: int = 0):
+    """Links within groups of rows key, fp, node; rows come sorted by key. Nodes of one fp and group are linked in a row."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def links(key: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        order = np.lexsort((f, np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(f))))))
-        f = f[order]
-        first = trie_forest(f, starts, budget)
-        linked = np.flatnonzero(first != np.arange(len(f)))
+    def links(key: np.ndarray, f: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        group = np.cumsum(np.append(False, key[1:] != key[:-1]))
+        order = np.lexsort((node, f, group))
+        group, f, node = group[order], f[order], node[order]
+        fresh = np.append(True, (f[1:] != f[:-1]) | (group[1:] != group[:-1]))
+        again = np.flatnonzero(~fresh)
+        at = np.flatnonzero(fresh)
+        starts = np.flatnonzero(np.append(True, group[at][1:] != group[at][:-1]))
+        a, b = trie_links(f[at], starts, budget, few)
         return pa.RecordBatch.from_arrays(
-            [pa.array(f[linked].view(np.int64)), pa.array(f[first[linked]].view(np.int64))], schema=schema
+            [pa.array(np.append(node[again], node[at[a]])), pa.array(np.append(node[again - 1], node[at[b]]))], schema=schema
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in batches:
-            key = b.column("key").to_numpy(zero_copy_only=False)
-            f = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def joined() -> pa.RecordBatch:
+            return links(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+        for batch in batches:
+            key, f, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "node"))
             if not len(key):
                 continue
+            f = f.view(np.uint64)
             last = int(np.flatnonzero(np.append(True, key[1:] != key[:-1]))[-1])
             if held and held[0][0][0] == key[0] and last == 0:
-                held.append((key, f))
+                held.append((key, f, node))
                 continue
-            held.append((key[:last], f[:last]))
-            key_all, f_all = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            if len(key_all):
-                yield links(key_all, f_all)
-            held = [(key[last:], f[last:])]
+            held.append((key[:last], f[:last], node[:last]))
+            if sum(len(x[0]) for x in held):
+                yield joined()
+            held[:] = [(key[last:], f[last:], node[last:])]
         if held:
-            yield links(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+            yield joined()
 
     return run
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, root) for every node that is not its component's smallest; edges: a, b."""
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node that is not its component's smallest; edges: a, b.
+
+    Rounds of large-star and small-star steps go on until nothing changes, which
+    takes a number of them that grows as the logarithm of the nodes.
+    """
     e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -222,7 +272,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def _linked(classes: DataFrame, key_print: str, budget: int, node: str, own: str, within: int, few: int = 0) -> DataFrame:
+    """Links (a, b) of nodes: groups by every two blocks of ``key_print``, joined by tries of ``own`` within ``within`` bits."""
+    masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(budget)]
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col(key_print).bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))
+    grouped = classes.select(F.col(own).alias("fp"), F.col(node).alias("node"), F.explode(keys).alias("key"))
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return grouped.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_group_links(within, few), "a long, b long")
 
 
 def simhash_components(
@@ -250,15 +308,7 @@ def simhash_components(
     kind = docs.schema[id_col].dataType.simpleString()
     prints = materialize(rows.mapInArrow(_fingerprints(words, seed), f"doc_id {kind}, text_hash long, fp long"))
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    masks = block_masks(budget)
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(masks)))
-    grouped = classes.select("fp", F.explode(keys).alias("key"))
-    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = (
-        grouped.repartition(parts, "key")
-        .sortWithinPartitions("key")
-        .mapInArrow(_group_links(budget), "a long, b long")
-    )
+    links = _linked(classes, "fp", budget, "fp", "fp", budget)
     roots = connected_components(links)
     labelled = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
@@ -273,17 +323,130 @@ def simhash_components(
     )
 
 
+def _two_prints(key_words: int, print_words: int, seed: int):
+    """For each text a digest of its words, and the fingerprints of shingles of two sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            rows = np.empty((b.num_rows, 3), dtype=np.uint64)
+            for i, t in enumerate(b.column("text").cast(pa.binary())):
+                w = t.as_py().lower().split()
+                rows[i] = xxhash.xxh64_intdigest(b" ".join(w), seed), _simhash(w, key_words, seed), _simhash(w, print_words, seed)
+            own = rows.view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(b.column(i) for i in range(b.num_columns - 1)), *(pa.array(np.ascontiguousarray(own[:, i])) for i in range(3))],
+                [*b.schema.names[:-1], "body", "key_fp", "fp"],
+            )
+
+    return run
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of hashes, each sorted and without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def shingle_set(text: bytes, words: int, seed: int = 42) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles; none for a text without words."""
+    import xxhash
+
+    w = text.lower().split()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in _shingles(w, words)), dtype=np.uint64)) if w else np.empty(0, np.uint64)
+
+
+def _alike(words: int, least: float):
+    """Of rows a, b, text_a, text_b the pairs whose texts share enough shingles; rows of one ``b`` mostly follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+            keep = np.zeros(len(a), dtype=bool)
+            last, held = None, np.empty(0, np.uint64)
+            for i, (x, y) in enumerate(zip(batch.column("text_a").cast(pa.binary()), batch.column("text_b").cast(pa.binary()), strict=True)):
+                if b[i] != last:
+                    last, held = b[i], shingle_set(y.as_py(), words)
+                keep[i] = similarity(shingle_set(x.as_py(), words), held) >= least
+            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    return run
+
+
+def near_classes(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    least: float = 0.8,
+    key_words: int = 1,
+    key_budget: int = 4,
+    print_words: int = 2,
+    print_budget: int = 10,
+    few: int = 64,
+    seed: int = 42,
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, body) of every row, and (body, component, lead) of every class, a struct unknown, doc_id, text_hash.
+
+    Texts of the same words (ASCII letters lower-cased) are one class. Classes whose
+    fingerprints agree, of single words on two of ``key_budget + 2`` blocks and of
+    ``print_words`` words within ``print_budget`` bits, are linked where they share
+    ``least`` of their distinct shingles of ``words`` words (Jaccard). Where more than
+    ``few`` classes of one group hang together, only links that span them are looked
+    at, so that work does not grow with the square of a group. ``component``
+    numbers what is linked, directly or through others; ``lead`` is its row with the
+    smallest id, null ids last, ties by the text's hash. Texts without words (null,
+    empty) are one class. Other columns are ignored; an empty table gives no rows.
+    """
+    ship(docs.sparkSession)
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    prints = materialize(
+        rows.mapInArrow(_two_prints(key_words, print_words, seed), f"doc_id {kind}, text_hash long, body long, key_fp long, fp long")
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("lead")
+    classes = materialize(prints.groupBy("body").agg(first, F.min("key_fp").alias("key_fp"), F.min("fp").alias("fp")))
+    links = _linked(classes, "key_fp", key_budget, "body", "fp", print_budget, few)
+    links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    asked = links.select(F.col("a").alias("body")).union(links.select("b")).distinct()
+    leads = asked.join(classes, "body").select("body", _row_key("lead.doc_id", "lead.text_hash").alias("k"), F.col("lead.text_hash").alias("h"))
+    texts = rows.select(_row_key("doc_id", "text_hash").alias("k"), F.col("text_hash").alias("h"), "text").join(leads, ["k", "h"])
+    texts = materialize(texts.groupBy("body").agg(F.first("text").alias("text")))
+    pairs = (
+        links.join(texts.select(F.col("body").alias("a"), F.col("text").alias("text_a")), "a")
+        .join(texts.select(F.col("body").alias("b"), F.col("text").alias("text_b")), "b")
+        .select("a", "b", "text_a", "text_b")
+    )
+    roots = connected_components(pairs.mapInArrow(_alike(words, least), "a long, b long"))
+    own = classes.join(roots, F.col("body") == F.col("node"), "left").select("body", "lead", F.coalesce("root", "body").alias("component"))
+    named = materialize(own.join(own.groupBy("component").agg(F.min("lead").alias("first")), "component").select("body", "component", F.col("first").alias("lead")))
+    return prints.select("doc_id", "text_hash", "body"), named
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per document: doc_id, component_id, the smallest id of its group of near copies; options as in ``near_classes``."""
+    prints, classes = near_classes(docs, id_col, text_col, **options)
+    return prints.join(classes, "body").select("doc_id", F.col("lead.doc_id").alias("component_id"))
+
+
+def _row_key(id_col: str, hash_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(hash_col))
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of every component (its smallest id); columns as they were."""
+    """``docs`` with one row of every group of near copies (its smallest id); columns as they were.
+
+    Of rows that repeat both id and text one stays. Options are those of ``near_classes``.
+    """
     p = without(docs)
-    found = simhash_components(docs, id_col, text_col, **options)
-    lead = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash"))
-    # A component without any id is named null; its class fingerprint still tells components apart.
-    name = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("f"))
-    kept = found.groupBy(name.alias("c")).agg(lead.alias("k")).select(
-        F.col("k.doc_id").alias(f"{p}_id"), F.col("k.text_hash").alias(f"{p}_th")
+    _, classes = near_classes(docs, id_col, text_col, **options)
+    kept = classes.select("lead").distinct().select(
+        _row_key("lead.doc_id", "lead.text_hash").alias(f"{p}_k"), F.col("lead.text_hash").alias(f"{p}_h")
     )
-    marked = docs.withColumn(f"{p}_h", F.xxhash64(text_or_empty(text_col)))
-    return marked.join(
-        kept, F.col(id_col).eqNullSafe(F.col(f"{p}_id")) & (F.col(f"{p}_h") == F.col(f"{p}_th")), "left_semi"
-    ).select(*docs.columns)
+    h = F.xxhash64(text_or_empty(text_col))
+    marked = docs.withColumn(f"{p}_h", h).withColumn(f"{p}_k", F.xxhash64(F.col(id_col), h))
+    nth = F.row_number().over(Window.partitionBy(f"{p}_k", f"{p}_h").orderBy(f"{p}_h"))
+    once = marked.withColumn(f"{p}_n", nth).where(F.col(f"{p}_n") == 1)
+    return once.join(kept, [f"{p}_k", f"{p}_h"], "left_semi").select(*docs.columns)
