@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtally.llm.common import ASCII_SPACE, materialize, text_or_empty
+from loomtally.llm.common import ASCII_SPACE, materialize, text_or_empty, without
 
 
 def normalised(text: str = "text") -> Column:
@@ -55,14 +55,14 @@ def exact_groups(
     best = F.struct("n", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus"))
     salted = (
         keyed.join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
-        .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "n"), F.col("salts")), F.lit(0)))
+        .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "n") + F.spark_partition_id(), F.col("salts")), F.lit(0)))
         .groupBy("digest", "body", "salt", F.coalesce("salts", F.lit(1)).alias("salts"))
         .agg(F.max(best).alias("best"), F.collect_list(best).alias("members"))
     )
     # From here on only groups that were salted carry their text.
     local = materialize(
         salted.select(
-            "digest", "salts", F.when(F.col("salts") > 1, F.col("body")).alias("body"), "best", "members"
+            "digest", "salt", "salts", F.when(F.col("salts") > 1, F.col("body")).alias("body"), "best", "members"
         )
     )
     single = local.where("salts = 1").select(
@@ -70,9 +70,11 @@ def exact_groups(
     )
     spread = local.where("salts > 1")
     tops = spread.groupBy("digest", "body").agg(
-        F.max("best").alias("top"), F.sum(F.size("members")).alias("rows")
+        F.max("best").alias("top"), F.sum(F.size("members")).alias("rows"), F.max("salts").alias("salts")
     )
-    merged = spread.join(tops, ["digest", "body"]).select("digest", "best", "members", "top", "rows")
+    # The winner goes to every salt of its text, so that the lists of members stay apart.
+    tops = tops.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    merged = spread.join(tops, ["digest", "salt", "body"]).select("digest", "best", "members", "top", "rows")
     member = F.posexplode("members").alias("at", "m")
     return (
         single.unionByName(merged)
@@ -89,21 +91,12 @@ def exact_groups(
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of every group of equal texts; columns as they were."""
-    from loomtally.llm.common import without
-
     p = without(docs)
-    kept = (
-        exact_groups(docs, id_col, text_col, **options)
-        .where("kept")
-        .select(F.col("doc_id").alias(f"{p}_id"), F.unhex("text_sha256").alias(f"{p}_digest"))
-    )
-    marked = docs.withColumn(f"{p}_sha", F.unhex(F.sha2(normalised(text_col), 256)))
-    same = F.col(f"{p}_sha") == F.col(f"{p}_digest")
-    rows = marked.join(kept, F.col(id_col).eqNullSafe(F.col(f"{p}_id")) & same, "left_semi")
-    # Rows that repeat an id and its text: one stays. The join has brought them together.
-    again = Window.partitionBy(id_col, f"{p}_sha").orderBy(F.length(text_or_empty(text_col)).desc(), text_col)
-    return (
-        rows.withColumn(f"{p}_again", F.row_number().over(again))
-        .where(F.col(f"{p}_again") == 1)
-        .select(*docs.columns)
-    )
+    row, digest = f"{p}_row", f"{p}_digest"
+    kept = exact_groups(docs, id_col, text_col, **options).where("kept").select("doc_id", F.unhex("text_sha256").alias(digest))
+    kept = kept.select(F.xxhash64("doc_id", digest).alias(row), digest)
+    marked = docs.withColumn(digest, F.unhex(F.sha2(normalised(text_col), 256))).withColumn(row, F.xxhash64(F.col(id_col), F.col(digest)))
+    # Rows that repeat an id and its text: one stays. The window keeps one of each task before the shuffle that the join needs as well.
+    again = Window.partitionBy(row, digest).orderBy(F.length(text_or_empty(text_col)).desc(), text_col)
+    once = marked.withColumn(f"{p}_again", F.row_number().over(again)).where(F.col(f"{p}_again") == 1)
+    return once.join(kept, [row, digest], "left_semi").select(*docs.columns)
