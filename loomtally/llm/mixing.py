@@ -11,13 +11,11 @@ phase begins in the next slot, so every row is placed exactly once.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from fractions import Fraction
 from heapq import heapify, heappop, heappush
-from math import lcm
+from math import isqrt, lcm
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -62,29 +60,23 @@ def schedule(blocks: list[int], weights: list[float]) -> Iterator[tuple[int, int
 
 def plan_cycles(blocks: list[int], weights: list[float], slots: int = SLOTS_PER_CYCLE) -> Iterator[tuple]:
     """(first slot, sources, blocks, releases, deadlines) for stretches of up to ``slots`` slots."""
-    at, held = 0, tuple(array("q") for _ in range(4))
+    at, held = 0, ([], [], [], [])
     for row in schedule(blocks, weights):
         for column, x in zip(held, row, strict=True):
             column.append(x)
         if len(held[0]) == slots:
             yield at, *held
-            at, held = at + slots, tuple(array("q") for _ in range(4))
+            at, held = at + slots, ([], [], [], [])
     if held[0]:
         yield at, *held
 
 
 def block_slots(spark: SparkSession, cycles: Iterator[tuple]) -> DataFrame:
-    """s, block, slot, release, deadline for every block; 32 bytes a block pass through the driver."""
+    """s, block, slot, release, deadline for every block; a few numbers a block pass through the driver."""
     names = ("s", "block", "release", "deadline")
-    kind = pa.list_(pa.int64())
-    rows = [
-        pa.table(
-            {"first": pa.array([first], pa.int64())}
-            | {c: pa.ListArray.from_arrays([0, len(x)], pa.array(memoryview(x))).cast(kind) for c, x in zip(names, held, strict=True)}
-        )
-        for first, *held in cycles
-    ]
-    made = spark.createDataFrame(pa.concat_tables(rows)).repartition(max(1, min(64, len(rows))), "first")
+    rows = list(cycles)
+    schema = "first long, " + ", ".join(f"{n} array<long>" for n in names)
+    made = spark.createDataFrame(rows, schema).repartition(max(1, min(64, len(rows))), "first")
     return made.select("first", F.posexplode(F.arrays_zip(*names)).alias("t", "b")).select(
         F.col("b.s").cast("int").alias("s"),
         "b.block",
@@ -100,14 +92,16 @@ def mix_order(
     id_col: str = "doc_id",
     source_col: str = "source",
     text_col: str = "text",
-    block_rows: int = 32,
+    block_rows: int | None = None,
     temperature: float = 0.5,
     seed: int = 7,
 ) -> DataFrame:
     """One row per document: doc_id, source, text_hash, again, block, slot, release, deadline, place.
 
     ``place`` is the row's place within its block; reading by (slot, place) gives
-    the mixture. ``weights`` maps sources to target weights; without it a source
+    the mixture. A block holds ``block_rows`` rows, by default 32 or an eighth of the
+    root of all rows if that is more, so that the schedule, which is worked out block
+    by block, grows with the root of the table. ``weights`` maps sources to target weights; without it a source
     of n rows weighs n ** ``temperature``. Sources that ``weights`` does not name
     weigh as little as the least named one. A null source is a source of its own.
     Rows within a source come in an order given by a hash. Rows that repeat id,
@@ -136,6 +130,7 @@ def mix_order(
         )
     least = min(weights.values()) if weights else 0.0
     known_weights = [weights.get(r["source"], least) if weights else r["rows"] ** temperature for r in known]
+    block_rows = block_rows or max(32, isqrt(sum(r["rows"] for r in known)) // 8)
     blocks = [-(-r["rows"] // block_rows) for r in known]
     slots = block_slots(spark, plan_cycles(blocks, known_weights))
     order = [F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.col("doc_id"), F.col("text_hash"), F.col("again")]
