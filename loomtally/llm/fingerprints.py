@@ -9,6 +9,8 @@ of their terms agree on many of the small ones.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,10 +98,11 @@ def likeness(a: Column, b: Column) -> Column:
 def _bucket(docs: DataFrame, id_col: str, rows: int, per_bucket: int) -> Column:
     """A number for each range of ids, in descending order; ranges hold about as many rows each.
 
-    Looks the id up in two steps among at most 65,536 bounds (approximate
-    quantiles), so rows next to each other meet without one global sort.
+    Looks the id up in two steps among approximate quantiles, so rows next to each
+    other meet without one global sort. A range holds ``per_bucket`` rows or the root
+    of all rows if that is more: neither ranges nor bounds grow faster than the root.
     """
-    n = max(1, min(65_536, rows // per_bucket))
+    n = max(1, rows // max(per_bucket, isqrt(rows) if per_bucket >= 500 else 1))
     if n == 1:
         return F.lit(0)
     at = [i / n for i in range(1, n)]
@@ -116,7 +119,7 @@ def _bucket(docs: DataFrame, id_col: str, rows: int, per_bucket: int) -> Column:
 
 
 def fingerprint_edits(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 500
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_bucket: int = 500, broadcast_terms: int = 2_000_000
 ) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are.
 
@@ -126,12 +129,13 @@ def fingerprint_edits(
     next document's, in descending order of doc_id (null ids last, rows that
     repeat an id by a hash of their text); the last document is followed by the
     first. A null text counts as empty. Equal texts have equal fingerprints; a
-    text without terms has dashes only. Other columns are ignored.
+    text without terms has dashes only. Other columns are ignored; an empty table
+    gives no rows. A lexicon of more than ``broadcast_terms`` terms is joined by a shuffle.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = base.count()
     lex = materialize(lexicon(docs, text_col, max(1, rows)))
-    small = lex.count() <= 2_000_000
+    small = lex.count() <= broadcast_terms
     lex = lex.select("term", F.lit(True).alias("in_lexicon"))
 
     # Rows in descending order of ids, by ranges. Each range also gets the first row of the next.
@@ -176,7 +180,8 @@ def fingerprint_edits(
     def tagged(t: str, which: int) -> Column:
         return F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(which).alias("of"), F.lit(None).cast(kind).alias("about")))
 
-    lead = F.array(F.struct(F.lit(None).cast("long").alias("term"), F.lit(-1).alias("of"), about.alias("about")))
+    # A row's own entry has no term; a number of its own in that place spreads these entries over the tasks of a join.
+    lead = F.array(F.struct(F.xxhash64("range", "at").alias("term"), F.lit(-1).alias("of"), about.alias("about")))
     parts = texts.select("range", "at", F.explode(F.concat(lead, tagged("t0", 0), tagged("t1", 1))).alias("x")).select(
         "range", "at", "x.term", "x.of", "x.about"
     )
