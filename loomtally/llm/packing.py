@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import cache
 from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +39,15 @@ class Segments(dict):
     one gives the ids of the whole text. The store starts anew when it is full.
     """
 
-    def __init__(self, encode, most: int = 400_000) -> None:
+    def __init__(self, encode, ranks: dict[bytes, int], most: int = 400_000) -> None:
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.ranks, self.most = encode, ranks, most
+
+    def begins_with_blank(self) -> np.ndarray:
+        """For each id whether its bytes begin with a blank."""
+        out = np.zeros(max(self.ranks.values(), default=0) + 2, dtype=bool)
+        out[[i for token, i in self.ranks.items() if token.startswith(b" ")]] = True
+        return out
 
     def __missing__(self, segment: str) -> bytes:
         ids = array("I", self.encode(segment)).tobytes()
@@ -60,7 +67,7 @@ def segments(path: str, pattern: str) -> Segments:
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return Segments(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
+    return Segments(tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, ranks)
 
 
 def token_ids(text: str, vocabulary: str | None = None) -> bytes:
