@@ -14,6 +14,7 @@ from loomtally.operators import aggregate as G
 from loomtally.operators import ledger as L
 from loomtally.operators import pricing as P
 from loomtally.operators import projects, tools
+from loomtally.plans import outputs as O
 from loomtally.plans.accounting import Accounting
 from loomtally.plans.bridge import IDLE_MINUTES, ORACLE, accounting
 
@@ -351,6 +352,29 @@ SELECT project_key, 'project ' || CASE WHEN nth <= 26 THEN chr(CAST(64 + nth AS
     lambda a: G.redacted(a.by_project, "project_key", "project")
 )
 
+on("top_tool", """, t AS (SELECT CASE WHEN starts_with(name, 'mcp__') THEN 'MCP tools' ELSE name END AS tool, count(*) AS calls FROM calls GROUP BY 1)
+SELECT arg_max(tool, row(calls, -list_position(['Bash', 'PowerShell', 'Read', 'Write', 'Edit', 'MultiEdit', 'NotebookEdit', 'Grep', 'Glob', 'WebFetch', 'MCP tools'], tool))) AS tool, max(calls) AS calls FROM t""")(
+    lambda a: O.top_tool(a.calls)
+)
+on("top_model", "SELECT model, CAST(sum(n_part) AS BIGINT) AS nano FROM wparts GROUP BY 1 HAVING sum(n_part) > 0 ORDER BY 2 DESC, 1 LIMIT 1")(
+    lambda a: O.top_model(G.by_model(a.priced))
+)
+on("agent_versions", "SELECT DISTINCT '1.0' AS agent_version FROM act")(lambda a: O.agent_versions(a.tables["activity"]))
+on("cost_ratio_summary", f"""{COST}, j AS (SELECT cs.session_id, start_ms, last_ms, reported_nano, coalesce(sum(nano), 0) AS nano FROM cs
+  LEFT JOIN resp ON resp.session_id = cs.session_id AND ts_start BETWEEN start_ms AND last_ms GROUP BY 1, 2, 3, 4),
+r AS (SELECT CAST(nano AS DOUBLE) / CAST(reported_nano AS DOUBLE) AS ratio FROM j)
+SELECT count(*) AS windows, CAST(median(ratio) AS DOUBLE) AS median_ratio, min(ratio) AS least_ratio, max(ratio) AS largest_ratio FROM r""")(
+    lambda a: O.ratio_summary(G.cost_ratios(a.cost_windows, a.priced))
+)
+USD = "printf('%d.%06d', CAST(n // 1000000000 AS BIGINT), CAST((n % 1000000000 + 500) // 1000 AS BIGINT))"
+on("export_by_day", f"""SELECT day, responses, input, output, cw5m, cw1h, cache_read, CASE WHEN (n % 1000000000 + 500) // 1000 = 1000000
+  THEN printf('%d.000000', CAST(n // 1000000000 + 1 AS BIGINT)) ELSE {USD} END AS usd FROM (
+  SELECT {day('ts_start')} AS day, {MEASURES}, sum(nano) AS n FROM resp GROUP BY 1)""")(lambda a: O.export(a, "day"))
+on("secret_locations", """SELECT CASE k % 3 WHEN 0 THEN 'aws_access_key' WHEN 1 THEN 'github_pat' ELSE 'jwt' END AS secret_type,
+  substr(sha256(CAST(user_id % 40 AS VARCHAR)), 1, 12) AS fingerprint12, rel_path, len(list(DISTINCT event_id)) AS lines FROM obs WHERE event_type = 'purchase' GROUP BY 1, 2, 3""")(
+    lambda a: O.secret_locations(a.tables["secret"], a.files).withColumn("lines", F.size("lines").cast("long"))
+)
+
 #: Over other tables: (tables, Spark SQL or function, DuckDB SQL).
 OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
