@@ -110,10 +110,16 @@ def idle_buckets(priced: DataFrame) -> DataFrame:
 
 
 def episodes(limited: DataFrame, tz: str = "UTC") -> DataFrame:
-    """Starts of runs of refusals with pauses of at most half an hour: ts_ms and local hour."""
-    times = limited.where("ts_ms is not null").select("ts_ms")
-    before = F.lag("ts_ms").over(Window.orderBy("ts_ms"))
-    starts = times.withColumn("gap", F.col("ts_ms") - before).where(F.col("gap").isNull() | (F.col("gap") > EPISODE_GAP))
+    """Starts of runs of refusals with pauses of at most half an hour: ts_ms and local hour.
+
+    Times are compared within their hour; the first one of an hour with the last
+    one of the hour before that has any. Only hours, not refusals, meet in one task.
+    """
+    times = limited.where("ts_ms is not null").select("ts_ms").distinct().withColumn("cell", F.expr("ts_ms div 3600000"))
+    hours = times.groupBy("cell").agg(F.max("ts_ms").alias("last"))
+    before = hours.select("cell", F.lag("last").over(Window.orderBy("cell")).alias("last"))
+    own = times.withColumn("own", F.lag("ts_ms").over(Window.partitionBy("cell").orderBy("ts_ms"))).join(before, "cell")
+    starts = own.withColumn("gap", F.col("ts_ms") - F.coalesce("own", "last")).where(F.col("gap").isNull() | (F.col("gap") > EPISODE_GAP))
     return starts.select("ts_ms", clock.local_hour(F.col("ts_ms"), tz).alias("hour"))
 
 

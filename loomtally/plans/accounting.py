@@ -11,6 +11,7 @@ from loomtally.operators import aggregate as G
 from loomtally.operators import dedup as D
 from loomtally.operators import pricing as P
 from loomtally.operators import projects, tools
+from loomtally.operators import secrets as S
 from loomtally.operators.methods import methods_totals
 from loomtally.operators.parse import events
 from loomtally.options import Options
@@ -33,11 +34,12 @@ class Accounting:
         self.spark, self.tables, self.files, self.options = configure(spark), tables, files, options or Options()
 
     @classmethod
-    def scan(cls, spark: SparkSession, roots: list[str], options: Options | None = None) -> Accounting:
+    def scan(cls, spark: SparkSession, roots: list[str], options: Options | None = None, now_ms: int | None = None) -> Accounting:
         configure(spark)
         files = list_files(spark, roots)
         found = records(read_lines(spark, files))
-        out = cls(spark, events(found, files), files, options)
+        tables = events(found, files) | {"secret": S.findings(S.spoken_texts(found, files), now_ms)}
+        out = cls(spark, tables, files, options)
         out.found = found
         return out
 

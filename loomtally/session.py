@@ -10,3 +10,19 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package once per application, for tasks that run Python."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_loomtally_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="loomtally-"))
+    shutil.copytree(package, folder / "tree" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(str(folder / package.name), "zip", folder / "tree", package.name))
+    sc._loomtally_shipped = True

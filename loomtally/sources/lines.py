@@ -1,114 +1,150 @@
 """Lines of transcript files, numbered, with what became of each.
 
-Files up to ``whole_file_bytes`` are read by Spark's binary reader, which takes
-any file system, and cut in the JVM. Larger ones go through a Python data source
-that streams byte ranges. Both cut at 0x0A alone and know whether the last line
-was ended.
+Files are read in byte ranges, from any file system that Arrow knows. A first
+pass counts the line breaks of files of several ranges; a second one reads the
+lines that begin in a range, numbered from those counts. Both cut at 0x0A alone
+and know whether the last line was ended.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from loomtally.session import ship
 
 MAX_LINE = 64 << 20
+RANGE_BYTES = 64 << 20
+BATCH_BYTES = 8 << 20
+BLOCK = 1 << 20
 SCHEMA = "file_idx int, line_no long, terminated boolean, byte_len long, text string"
-
-
-class LineReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.files = [tuple(x.split("\t")) for x in options["files"].split("\n") if x]
-        self.longest = int(options.get("longest", MAX_LINE))
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(f) for f in self.files]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        idx, size, path = partition.value
-        left, n, held, length = int(size), 0, bytearray(), 0
-        with open(path, "rb") as f:
-            while left > 0 and (block := f.read(min(left, 1 << 20))):
-                left -= len(block)
-                at = 0
-                while (end := block.find(b"\n", at)) >= 0:
-                    n, length = n + 1, length + end - at
-                    if length <= self.longest:
-                        held += block[at:end]
-                    yield self.row(idx, n, True, length, held)
-                    held, length, at = bytearray(), 0, end + 1
-                length += len(block) - at
-                if length <= self.longest:
-                    held += block[at:]
-        if length:
-            yield self.row(idx, n + 1, False, length, held)
-
-    def row(self, idx: str, n: int, ended: bool, length: int, held: bytearray) -> tuple:
-        text = None if length > self.longest else held.decode("utf-8", "replace")
-        return int(idx), n, ended, length, text
-
-
-class TranscriptLines(DataSource):
-    """Format ``transcript_lines``: option ``files`` holds index, size and path, tab-separated."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "transcript_lines"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return LineReader(self.options)
-
-
-def read_lines(
-    spark: SparkSession, files: DataFrame, whole_file_bytes: int = 256 << 20, longest: int = MAX_LINE
-) -> DataFrame:
-    """file_idx, line_no (from 1), terminated, byte_len, text (null if longer than ``longest``).
-
-    Reads no more of a file than the size it was listed with.
+ARROW = pa.schema([("file_idx", pa.int32()), ("line_no", pa.int64()), ("terminated", pa.bool_()), ("byte_len", pa.int64()), ("text", pa.string())])
+
+
+def _open(path: str):
+    from pyarrow import fs
+
+    if "://" in path or path.startswith("file:"):
+        system, inner = fs.FileSystem.from_uri(path)
+    else:
+        system, inner = fs.LocalFileSystem(), path
+    return system.open_input_file(inner)
+
+
+def _blocks(f, at: int, end: int) -> Iterator[bytes]:
+    f.seek(at)
+    while at < end and (block := f.read(min(BLOCK, end - at))):
+        at += len(block)
+        yield block
+
+
+def _count_breaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Line breaks of each range; none where a file can't be read, which the second pass reports."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            try:
+                with _open(r["path"]) as f:
+                    n = sum(b.count(b"\n") for b in _blocks(f, r["a"], r["b"]))
+            except OSError:
+                n = 0
+            yield pa.RecordBatch.from_pydict({"file_idx": pa.array([r["file_idx"]], pa.int32()), "a": [r["a"]], "breaks": [n]})
+
+
+def _lines_from(f, a: int, b: int, size: int, longest: int) -> Iterator[tuple[int, bool, int, bytes | None]]:
+    """(breaks from a, ended, length, bytes) of the lines that begin in [a, b); no bytes of one longer than ``longest``."""
+    begun = a == 0  # a line begins at a if the byte before it is a break
+    at, held, length, n = max(a - 1, 0), [], 0, 0
+    for block in _blocks(f, at, size):
+        i = 0
+        while (end := block.find(b"\n", i)) >= 0:
+            if begun:
+                length += end - i
+                if length <= longest:
+                    held.append(block[i:end])
+                yield n, True, length, b"".join(held) if length <= longest else None
+            n += at + end >= a
+            begun, held, length, i = True, [], 0, end + 1
+            if at + i >= b:
+                return
+        if begun:
+            length += len(block) - i
+            held = [*held, block[i:]] if length <= longest else []
+        at += len(block)
+        if not begun and at >= b:
+            return
+    if begun and length:
+        yield n, False, length, b"".join(held) if length <= longest else None
+
+
+def _reader(longest: int):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows, held = [], 0
+                try:
+                    with _open(r["path"]) as f:
+                        for n, ended, length, raw in _lines_from(f, r["a"], r["b"], r["size"], longest):
+                            text = None if raw is None else raw.removesuffix(b"\r").decode("utf-8", "replace")
+                            rows.append((r["file_idx"], r["first"] + n + 1, ended, length, text))
+                            held += length
+                            if held >= BATCH_BYTES:
+                                yield _batch(rows)
+                                rows, held = [], 0
+                except OSError:
+                    rows.append((r["file_idx"], None, None, None, None))
+                if rows:
+                    yield _batch(rows)
+
+    return read
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
+
+
+def read_lines(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES, longest: int = MAX_LINE) -> DataFrame:
+    """file_idx, line_no (from 1), terminated, byte_len, text (null if longer than ``longest``, without one CR at its end).
+
+    Reads no more of a file than the size it was listed with. A range that can't
+    be read is one row that has a file_idx only.
     """
-    wanted = files.where("file_class is not null")
-    listed = wanted.select("path", "size", "file_idx").collect()  # a row per file: the plan of the scan
-    small = [r["path"] for r in listed if r["size"] <= whole_file_bytes]
-    out = spark.createDataFrame([], SCHEMA)
-    if small:
-        raw = spark.read.format("binaryFile").load(small)
-        name = F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/*", "/")
-        sized = wanted.select(F.col("path").alias("listed"), "size", "file_idx")
-        cut = raw.select(name.alias("listed"), "content").join(F.broadcast(sized), "listed")
-        body = F.make_valid_utf8(F.expr("substring(content, 1, cast(size as int))").cast("string"))
-        parts = cut.select("file_idx", F.posexplode(F.split(body, "\n")).alias("i", "text"), F.size(F.split(body, "\n")).alias("n"))
-        rows = parts.where((F.col("i") < F.col("n") - 1) | (F.col("text") != ""))
-        size = F.octet_length("text").cast("long")
-        own = rows.select(
-            "file_idx", (F.col("i") + 1).cast("long").alias("line_no"), (F.col("i") < F.col("n") - 1).alias("terminated"),
-            size.alias("byte_len"), F.when(size <= longest, F.col("text")).alias("text"),
-        )
-        out = out.unionByName(own)
-    large = "\n".join(f"{r['file_idx']}\t{r['size']}\t{r['path']}" for r in listed if r["size"] > whole_file_bytes)
-    if large:
-        spark.dataSource.register(TranscriptLines)
-        out = out.unionByName(
-            spark.read.format("transcript_lines").option("files", large).option("longest", longest).load()
-        )
-    return out.withColumn("text", F.regexp_replace("text", r"\r\z", ""))
+    wanted = files.where("file_class is not null and size > 0").select("file_idx", "path", F.col("size").cast("long").alias("size"))
+    tasks = _tasks(spark, wanted, range_bytes)
+    ship(spark)
+    starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))
+    ranges = wanted.select("*", F.explode(starts).alias("a")).withColumn("b", F.least("size", F.col("a") + range_bytes))
+    # Ranges are dealt by their own hash, so many tasks read a large file.
+    many = ranges.where(F.col("size") > range_bytes).repartition(tasks, "file_idx", "a")
+    counted = many.mapInArrow(_count_breaks, "file_idx int, a long, breaks long")
+    before = Window.partitionBy("file_idx").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counted.select("file_idx", "a", F.coalesce(F.sum("breaks").over(before), F.lit(0)).alias("breaks"))
+    placed = ranges.join(firsts, ["file_idx", "a"], "left")
+    first = F.coalesce("breaks", F.lit(0)).cast("long").alias("first")
+    return placed.select("file_idx", "path", "size", "a", "b", first).repartition(tasks, "file_idx", "a").mapInArrow(_reader(longest), SCHEMA)
+
+
+def _tasks(spark: SparkSession, files: DataFrame, range_bytes: int) -> int:
+    """A task for about every range's worth of bytes, and all cores where there are more than a few megabytes."""
+    total = files.agg(F.sum("size")).first()[0] or 0
+    least = spark.sparkContext.defaultParallelism if total > BATCH_BYTES else 1
+    return min(max(total // range_bytes + 1, least), 100_000)
 
 
 def records(lines: DataFrame) -> DataFrame:
     """Adds ``r``, the record as a VARIANT where the line holds an object, and ``fate`` of every line.
 
-    Fates: object, blank, oversize, partial (a last line that isn't ended and doesn't
+    Fates: object, blank, oversize, unreadable (a range of a file), partial (a last line that isn't ended and doesn't
     parse), error, other (valid JSON, but no object).
     """
     clean = F.regexp_replace("text", "^﻿", "")
     parsed = lines.withColumn("r", F.try_parse_json(clean))
     shape = F.schema_of_variant("r")
     fate = (
-        F.when(F.col("text").isNull(), "oversize")
+        F.when(F.col("line_no").isNull(), "unreadable")
+        .when(F.col("text").isNull(), "oversize")
         .when(F.trim(clean) == "", "blank")
         .when(F.col("r").isNull(), F.when(F.col("terminated"), "error").otherwise("partial"))
         .when(shape.startswith("OBJECT"), "object")
@@ -120,8 +156,8 @@ def records(lines: DataFrame) -> DataFrame:
 def scan_receipts(found: DataFrame, files: DataFrame) -> DataFrame:
     """What was read, by class of file."""
     dim = F.broadcast(files.select("file_idx", "file_class"))
-    fates = [F.count_if(F.col("fate") == f).alias(f"n_{f}") for f in ("object", "blank", "error", "partial", "other", "oversize")]
+    fates = [F.count_if(F.col("fate") == f).alias(f"n_{f}") for f in ("object", "blank", "error", "partial", "other", "oversize", "unreadable")]
     return found.join(dim, "file_idx").groupBy("file_class").agg(
-        F.countDistinct("file_idx").alias("files"), F.count("*").alias("lines"), F.sum("byte_len").alias("bytes"),
+        F.countDistinct("file_idx").alias("files"), F.count("line_no").alias("lines"), F.sum("byte_len").alias("bytes"),
         F.max("byte_len").alias("longest_line"), *fates,
     )
