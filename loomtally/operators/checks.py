@@ -47,8 +47,7 @@ def event_rules(kind: str, columns: list[str]) -> dict[str, Column]:
         "workflow": {"event": F.col("event").isNotNull() & one_of("event", *WORKFLOW_EVENTS)},
         "secret": {"severity": F.col("severity").isNotNull() & one_of("severity", *SEVERITY), "fingerprint12": F.coalesce(F.col("fingerprint12").rlike("^[0-9a-f]{12}$"), F.lit(False))},
     }
-    needed = {name: rule for name, rule in own.get(kind, {}).items()}
-    return rules | needed
+    return rules | own.get(kind, {})
 
 
 def broken(df: DataFrame, rules: dict[str, Column], keys: list[str]) -> DataFrame:
@@ -83,7 +82,7 @@ def ledger_problems(units: DataFrame) -> DataFrame:
     """day, session16 and rule: what may not be merged into a ledger."""
     numbers = {c: F.col(c).isNotNull() & whole(c) for c in ("responses", "prompts", "calls", "failed_calls", "active_ms")}
     rules = numbers | {
-        "day": F.coalesce(F.to_date(F.when(F.col("day").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("day"))).isNotNull(), F.lit(False)),
+        "day": F.col("day").rlike(r"^\d{4}-\d{2}-\d{2}$") & F.col("day").try_cast("date").isNotNull(),
         "month": F.col("month") == F.substring("day", 1, 7), "session16": F.col("session16").rlike("^[0-9a-f]{16}$"),
         "nano": F.col("nano") >= 0, "failed_of_calls": F.col("failed_calls") <= F.col("calls"),
     }

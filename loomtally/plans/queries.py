@@ -13,8 +13,10 @@ from loomtally.operators import activity as A
 from loomtally.operators import aggregate as G
 from loomtally.operators import ledger as L
 from loomtally.operators import pricing as P
-from loomtally.operators import projects, tools
+from loomtally.operators import checks, projects, tools
+from loomtally.operators import secrets as S
 from loomtally.plans import outputs as O
+from loomtally.plans import summary as R
 from loomtally.plans.accounting import Accounting
 from loomtally.plans.bridge import IDLE_MINUTES, ORACLE, accounting
 
@@ -375,6 +377,42 @@ on("secret_locations", """SELECT CASE k % 3 WHEN 0 THEN 'aws_access_key' WHEN 1
     lambda a: O.secret_locations(a.tables["secret"], a.files).withColumn("lines", F.size("lines").cast("long"))
 )
 
+HABITS = f""", oc AS (SELECT count(*) FILTER (status = 'ok' AND name = 'Edit') AS e, count(*) FILTER (status = 'ok' AND name = 'Write') AS w,
+  count(*) FILTER (name IN ('Read', 'WebFetch')) AS r, count(*) FILTER (name = 'Bash') AS b, count(*) AS n, median(k % 15) FILTER (status = 'ok' AND name = 'Edit') AS m FROM calls),
+fc AS (SELECT arg_min(name, row(ms, id)) AS t FROM calls WHERE status = 'ok' AND name IN ('Edit', 'Write') GROUP BY path_hash),
+sd AS (SELECT coalesce(sum(nano) FILTER (side), 0) AS a, sum(nano) AS b FROM resp),
+hb AS MATERIALIZED (SELECT 'conductor' AS field, {share('a', 'b')} AS value FROM sd UNION ALL SELECT 'surgeon', CASE WHEN e + w > 0 THEN e / (e + w) ELSE 0 END FROM oc
+  UNION ALL SELECT 'builder', CASE WHEN e + w > 0 THEN w / (e + w) ELSE 0 END FROM oc UNION ALL SELECT 'researcher', CASE WHEN n > 0 THEN r / n ELSE 0 END FROM oc
+  UNION ALL SELECT 'operator', CASE WHEN n > 0 THEN b / n ELSE 0 END FROM oc UNION ALL SELECT 'median_edit_lines', CAST(m AS DOUBLE) FROM oc
+  UNION ALL SELECT 'files_created', count(*) FILTER (t = 'Write') FROM fc)"""
+on("habits", f"{HABITS} SELECT field, CAST(value AS DOUBLE) AS value FROM hb")(lambda a: R.habits(a))
+on("archetype", f"""{HABITS}, th AS (SELECT * FROM (VALUES (0, 'conductor', 0.25), (1, 'surgeon', 0.6), (2, 'builder', 0.6), (3, 'researcher', 0.4), (4, 'operator', 0.45)) t(nth, field, least)),
+sc AS (SELECT nth, field, value / CAST(least AS DOUBLE) AS score FROM hb JOIN th USING (field) WHERE value / CAST(least AS DOUBLE) >= 1
+  AND (field <> 'surgeon' OR (SELECT value FROM hb WHERE field = 'median_edit_lines') <= 10) AND (field <> 'builder' OR (SELECT value FROM hb WHERE field = 'files_created') >= 50))
+SELECT coalesce(arg_max(field, row(score, -nth)), 'generalist') AS archetype, max(score) AS score FROM sc""")(lambda a: R.archetype(R.habits(a)))
+PATTERNS = f"""{HOURS}, pd AS (SELECT DISTINCT CAST({day('ms')} AS DATE) AS d FROM prm), pi AS (SELECT d - CAST(row_number() OVER (ORDER BY d) AS INT) AS island FROM pd),
+pn AS (SELECT count(*) AS c FROM pi GROUP BY island), ca AS (SELECT sum(t_read) AS r, sum(t_in + w5 + w1 + t_read) AS n FROM wparts),
+pf AS (SELECT 'night-shift' AS field, count(*) FILTER (hour >= 20 OR hour <= 4) / count(*) AS value FROM h UNION ALL SELECT 'weekend-builder', count(*) FILTER (isodow(d) >= 6) / count(*) FROM pd
+  UNION ALL SELECT 'streak', max(c) FROM pn UNION ALL SELECT 'cache-pro', {share('r', 'n')} FROM ca UNION ALL SELECT 'wall-hitter', count(*) FROM qw)"""
+on("pattern_figures", f"{QUOTA} {PATTERNS} SELECT field, CAST(value AS DOUBLE) AS value FROM pf")(lambda a: R.pattern_figures(a, rate_limits=True))
+on("badges", f"""{QUOTA} {PATTERNS}, th AS (SELECT * FROM (VALUES (0, 'night-shift', 0.35), (1, 'weekend-builder', 0.3), (2, 'streak', 14.0), (3, 'cache-pro', 0.9), (4, 'wall-hitter', 5.0)) t(nth, field, least))
+SELECT CAST(nth AS INT) AS nth, field AS badge FROM pf JOIN th USING (field) WHERE value >= CAST(least AS DOUBLE)""")(lambda a: R.badges(R.pattern_figures(a, rate_limits=True)))
+on("heat_levels", f"""{HOURS}, e AS (SELECT CAST(range // 24 AS INT) AS weekday, CAST(range % 24 AS INT) AS hour FROM range(168)),
+n AS (SELECT weekday, hour, count(*) AS c FROM h GROUP BY 1, 2), f AS (SELECT weekday, hour, coalesce(c, 0) AS c FROM e LEFT JOIN n USING (weekday, hour))
+SELECT weekday, hour, CASE WHEN c = 0 THEN 0 ELSE greatest(1, CAST(ceil(4 * sqrt(c / (SELECT max(c) FROM f)) - 1e-9) AS INT)) END AS level FROM f""")(lambda a: R.heat_levels(a))
+on("ledger_checked", f"""{UNITS}, bad AS (SELECT day, session16, CASE WHEN responses % 5 = 0 THEN -1 ELSE responses END AS responses, CASE WHEN day LIKE '%7' THEN '0000-00' ELSE month END AS month FROM un)
+SELECT day, session16, 'responses' AS rule FROM bad WHERE responses < 0 UNION ALL SELECT day, session16, 'month' FROM bad WHERE month <> substr(day, 1, 7)
+UNION ALL SELECT day, session16, 'failed_of_calls' FROM un WHERE failed_calls > calls""")(
+    lambda a: checks.ledger_problems(
+        units(a).withColumn("responses", F.expr("if(responses % 5 = 0, -1L, responses)")).withColumn("month", F.expr("if(day like '%7', '0000-00', month)"))
+    )
+)
+on("secret_folders", """, s AS (SELECT DISTINCT CASE k % 3 WHEN 0 THEN 'aws_access_key' WHEN 1 THEN 'github_pat' ELSE 'jwt' END AS secret_type,
+  substr(sha256(CAST(user_id % 40 AS VARCHAR)), 1, 12) AS fingerprint12, session_id FROM obs WHERE event_type = 'purchase')
+SELECT secret_type, fingerprint12, string_agg(DISTINCT home, ',' ORDER BY home) AS folders FROM s LEFT JOIN launch USING (session_id) GROUP BY 1, 2""")(
+    lambda a: checks.secret_folders(a.secrets, a.launch).withColumn("folders", F.array_join("folders", ","))
+)
+
 #: Over other tables: (tables, Spark SQL or function, DuckDB SQL).
 OTHER: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
@@ -479,6 +517,27 @@ def _union_except(spark, d):
     return a.union(b).distinct().subtract(_table(spark, d, "nation").where("n_regionkey = 1").select("n_nationkey"))
 
 
+_SCANNED = " UNION ALL ".join(
+    f"""SELECT doc_id, '{k}' AS secret_type, '^{h}({b})' AS inner_, text, regexp_extract_all(text, '{h}{b}{t}') AS vs, string_split_regex(text, '{h}{b}{t}') AS ps
+    FROM documents WHERE regexp_matches(text, '{h}{b}{t}')""" for k, h, b, t in S.FORMATS
+)
+
+
+@over("secrets_scan", f"""WITH f AS ({_SCANNED}),
+e AS (SELECT *, unnest(range(1, len(vs) + 1)) AS i FROM f),
+p AS (SELECT doc_id, secret_type, i, vs[i] AS v, inner_, text, sum(length(ps[i]) + length(vs[i])) OVER (PARTITION BY doc_id, secret_type ORDER BY i) - length(vs[i]) AS a FROM e),
+n AS (SELECT doc_id, secret_type, i, v, regexp_extract(v, inner_, 1) AS body,
+  substr(text, CAST(greatest(a - 150, 0) + 1 AS BIGINT), CAST(least(a, 150) AS BIGINT)) || chr(10) || substr(text, CAST(a + length(v) + 1 AS BIGINT), 150) AS near FROM p),
+c AS (SELECT doc_id, secret_type, i, unnest(string_split(body, '')) AS c, length(body) AS n FROM n),
+h AS (SELECT doc_id, secret_type, i, -sum(k / n * log2(k / n)) AS entropy FROM (SELECT doc_id, secret_type, i, c, any_value(n) AS n, count(*) AS k FROM c GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
+SELECT doc_id, secret_type, substr(sha256(v), 1, 12) AS fingerprint12,
+  CASE WHEN entropy >= 3.2 AND NOT regexp_matches(near, '(?i)test|mock|example|placeholder|fixture|dummy|sample|fake|changeme') THEN 'critical' ELSE 'likely_fixture' END AS severity,
+  count(*) AS copies FROM n JOIN h USING (doc_id, secret_type, i) GROUP BY 1, 2, 3, 4""")
+def _secrets_scan(spark, d):
+    texts = _table(spark, d, "documents").select("doc_id", "text", F.lit("user_text").alias("place"), F.lit(None).cast("string").alias("tool_name"))
+    return S.findings(texts).groupBy("doc_id", "secret_type", "fingerprint12", "severity").agg(F.count("*").alias("copies"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {k: (lambda spark, d, f=f: plain(f(accounting(spark, d)))) for k, f in FOUND.items()}
     return own | {k: f for k, (f, _) in OTHER.items()}
