@@ -519,11 +519,15 @@ def _union_except(spark, d):
 
 _SCANNED = " UNION ALL ".join(
     f"""SELECT doc_id, '{k}' AS secret_type, '^{h}({b})' AS inner_, text, regexp_extract_all(text, '{h}{b}{t}') AS vs, string_split_regex(text, '{h}{b}{t}') AS ps
-    FROM documents WHERE regexp_matches(text, '{h}{b}{t}')""" for k, h, b, t in S.FORMATS
+    FROM planted WHERE regexp_matches(text, '{h}{b}{t}')""" for k, h, b, t in S.FORMATS
 )
 
 
-@over("secrets_scan", f"""WITH f AS ({_SCANNED}),
+# The driver's documents hold no value of these formats, so half of them get a made-up one at their end, every other of those called an example.
+_PLANTED = """CASE doc_id % 4 WHEN 0 THEN concat(text, ' hf_', md5(CAST(doc_id AS {0}))) WHEN 1 THEN concat(text, ' example npm_', md5(CAST(doc_id AS {0})), 'wxyz') ELSE text END"""
+
+
+@over("secrets_scan", f"""WITH planted AS (SELECT doc_id, {_PLANTED.format("VARCHAR")} AS text FROM documents), f AS ({_SCANNED}),
 e AS (SELECT *, unnest(range(1, len(vs) + 1)) AS i FROM f),
 p AS (SELECT doc_id, secret_type, i, vs[i] AS v, inner_, text, sum(length(ps[i]) + length(vs[i])) OVER (PARTITION BY doc_id, secret_type ORDER BY i) - length(vs[i]) AS a FROM e),
 n AS (SELECT doc_id, secret_type, i, v, regexp_extract(v, inner_, 1) AS body,
@@ -534,7 +538,7 @@ SELECT doc_id, secret_type, substr(sha256(v), 1, 12) AS fingerprint12,
   CASE WHEN entropy >= 3.2 AND NOT regexp_matches(near, '(?i)test|mock|example|placeholder|fixture|dummy|sample|fake|changeme') THEN 'critical' ELSE 'likely_fixture' END AS severity,
   count(*) AS copies FROM n JOIN h USING (doc_id, secret_type, i) GROUP BY 1, 2, 3, 4""")
 def _secrets_scan(spark, d):
-    texts = _table(spark, d, "documents").select("doc_id", "text", F.lit("user_text").alias("place"), F.lit(None).cast("string").alias("tool_name"))
+    texts = _table(spark, d, "documents").select("doc_id", F.expr(_PLANTED.format("STRING")).alias("text"), F.lit("user_text").alias("place"), F.lit(None).cast("string").alias("tool_name"))
     return S.findings(texts).groupBy("doc_id", "secret_type", "fingerprint12", "severity").agg(F.count("*").alias("copies"))
 
 
