@@ -16,6 +16,7 @@ from loomtally.llm import (
     lm_scoring,
     mixing,
     packing,
+    periodic_runs,
     quality,
     secret_scan,
     simhash,
@@ -90,6 +91,27 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.repeat_tail(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    found = periodic_runs.find_runs(docs, ["doc_id"])
+    best = F.aggregate(
+        "runs",
+        F.lit(None).cast("struct<start:long,length:long,period:long>"),
+        lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b),
+    )
+    line = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OP3_SQL = """
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -116,6 +138,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_quality": op10_quality,
+        "op11_periodic_runs": op11_periodic_runs,
         "pipeline": run,
     }
 
