@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtally.llm.common import ship, text_or_empty, without
+from loomtally.llm.words import slices, split_words
 
 _PRIME = np.uint64((1 << 31) - 1)
 #: Pairs of period and grid point that are looked at together.
@@ -128,28 +129,6 @@ def _runs(words: np.ndarray, first: np.ndarray, n: np.ndarray, fewest: int, time
     return doc, start, end - start, period
 
 
-def _split(texts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of all words, words of each text, lengths of the words in bytes, and the bytes of all words in a row."""
-    held = pa.concat_arrays([t.cast(pa.large_binary()) for t in texts])
-    offsets = np.frombuffer(held.buffers()[1], dtype=np.int64)[held.offset : held.offset + len(held) + 1]
-    data = np.frombuffer(held.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-    edges = offsets - offsets[0]
-    inside = (data != 32) & ((data < 9) | (data > 13))
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    cut = edges[:-1][(edges[:-1] < len(data)) & (np.diff(edges) > 0)]
-    begins[cut] = inside[cut]  # a word ends with its text
-    starts = np.flatnonzero(begins)
-    n = np.diff(np.searchsorted(starts, edges))
-    packed = data[inside]
-    ends = np.cumsum(inside)
-    length = np.diff(np.append(ends[starts] - 1, len(packed)))
-    bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(packed)])
-    numbers = pc.dictionary_encode(words).indices.to_numpy().astype(np.int64) if len(starts) else np.empty(0, np.int64)
-    return numbers, n.astype(np.int64), length.astype(np.int64), packed
-
-
 def _drop_repeats(n: np.ndarray, length: np.ndarray, packed: np.ndarray, runs: tuple[np.ndarray, ...]) -> pa.Array:
     """The texts with one blank between words, without the words that a run holds after its first period."""
     doc, start, size, period = runs
@@ -173,7 +152,7 @@ def _detect(fewest: int, times: int, slice_bytes: int):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, n, length, packed = _split([batch.column("text")])
+        words, n, length, packed = split_words(batch.column("text"))[:4]
         runs = find_runs_in(words, n, fewest, times)
         doc, start, size, period = runs
         of = np.append(0, np.cumsum(np.bincount(doc, minlength=len(n)))).astype(np.int32)
@@ -187,13 +166,7 @@ def _detect(fewest: int, times: int, slice_bytes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
-            at = 0
-            while at < batch.num_rows:
-                before = int(sizes[at - 1]) if at else 0
-                end = max(at + 1, int(np.searchsorted(sizes, before + slice_bytes)))
-                yield part(batch.slice(at, end - at))
-                at = end
+            yield from map(part, slices(batch, "text", slice_bytes))
 
     return run
 

@@ -12,6 +12,7 @@ from loomtally.llm import (
     chat_format,
     exact_dedup,
     fingerprints,
+    jaccard_join,
     language_id,
     lm_scoring,
     mixing,
@@ -112,6 +113,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -139,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_quality": op10_quality,
         "op11_periodic_runs": op11_periodic_runs,
+        "op13_jaccard_join": op13_jaccard_join,
         "pipeline": run,
     }
 
