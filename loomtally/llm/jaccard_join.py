@@ -29,41 +29,36 @@ from pyspark.sql import functions as F
 
 from loomtally.llm.common import materialize, ship, text_or_empty
 from loomtally.llm.simhash import connected_components
-from loomtally.llm.words import slices, split_words
+from loomtally.llm.words import mix, slices, word_hashes
 
 SLICE = 1 << 22
 #: Most pivots of a region in one round.
 PIVOTS = 32
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit over all."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text in a row, and where each text begins (one more at the end)."""
-    import xxhash
-
-    numbers, n, _, _, distinct = split_words(texts, lower=True)
-    own = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in distinct), dtype=np.uint64, count=len(distinct))
-    h = own[numbers]
+    h, n = word_hashes(texts, lower=True)
     first = np.cumsum(n) - n
     count = np.where(n >= words, n - words + 1, (n > 0).astype(np.int64))
-    doc = np.repeat(np.arange(len(n)), count)
-    at = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    size = np.minimum(n, words)[doc]
-    made = _mix(size.astype(np.uint64))
+    ends = np.cumsum(count)
+    at = np.repeat(first - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
+    many = np.uint64(0x9E3779B97F4A7C15)
+    made = np.full(len(at), words, dtype=np.uint64)
+    last = max(0, len(h) - 1)
     for i in range(words):
-        has = i < size
-        made[has] = _mix(made[has] * np.uint64(0x9E3779B97F4A7C15) + h[at[has] + i])
-    order = np.lexsort((made, doc))
-    doc, made = doc[order], made[order]
-    fresh = np.append(True, (doc[1:] != doc[:-1]) | (made[1:] != made[:-1])) if len(doc) else np.empty(0, bool)
-    doc, made = doc[fresh], made[fresh]
-    return made, np.searchsorted(doc, np.arange(len(n) + 1))
+        made = mix(made * many + h[np.minimum(at + i, last)])
+    for d in np.flatnonzero((n > 0) & (n < words)):  # the whole sequence
+        one = np.array([n[d]], dtype=np.uint64)
+        for x in h[first[d] : first[d] + n[d]]:
+            one = mix(one * many + x)
+        made[ends[d] - 1] = one[0]
+    fresh = np.ones(len(made), dtype=bool)
+    for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True):
+        made[a:b].sort()
+    fresh[1:] = made[1:] != made[:-1]
+    fresh[(ends - count)[count > 0]] = True
+    return made[fresh], np.append(0, np.cumsum(fresh))[np.append(0, ends)]
 
 
 def _often(words: int, least: int, together: int = 1 << 22):
@@ -100,7 +95,10 @@ def _prints(words: int, percent: int, often: np.ndarray, rank: np.ndarray):
         place = np.minimum(np.searchsorted(often, made), max(0, len(often) - 1))
         known = often[place] == made if len(often) else np.zeros(len(made), bool)
         common = np.where(known, rank[place] if len(rank) else 0, 0)
-        order = np.lexsort((made, common, doc))
+        order = np.arange(len(made))
+        for d in np.unique(doc[common > 0]):
+            a, b = edges[d], edges[d + 1]
+            order[a:b] = a + np.argsort(common[a:b], kind="stable")
         few = np.where(n > 0, n + (-percent * n) // 100 + 1, 0)
         taken = np.arange(len(made)) - edges[doc] < few[doc]
         rare = pa.ListArray.from_arrays(
@@ -117,20 +115,6 @@ def _prints(words: int, percent: int, often: np.ndarray, rank: np.ndarray):
     return run
 
 
-def _sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                made, edges = shingle_sets(part.column("text"), words)
-                own = [made[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                columns = [pa.array([f(x) for x in own], pa.binary()) for f in (xxhash.xxh3_128_digest, np.ndarray.tobytes)]
-                yield pa.RecordBatch.from_arrays(columns, ["digest", "body"])
-
-    return run
-
-
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
     """Numbers that two sorted arrays without repeats have in common."""
     if len(x) > len(y):
@@ -138,61 +122,69 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
 
 
-def _measured(least: int):
-    """Of pairs a, b of sets those alike in ``least`` percent or more, with the sizes of intersection and union."""
+def _measured(words: int, least: int):
+    """Of pairs a, b of texts those whose sets are alike in ``least`` percent or more, with the sizes of intersection and union."""
+
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        one, starts = shingle_sets(batch.column("text_a"), words)
+        # Rows of one text follow each other: its set is made once.
+        text_b = batch.column("text_b").dictionary_encode()
+        other, begins = shingle_sets(text_b.dictionary, words)
+        keep, both, all_ = [], [], []
+        for i, k in enumerate(text_b.indices.to_pylist()):
+            x, y = one[starts[i] : starts[i + 1]], other[begins[k] : begins[k + 1]]
+            if 100 * min(len(x), len(y)) < least * max(len(x), len(y)):
+                continue
+            n = _shared(x, y)
+            if 100 * n >= least * (len(x) + len(y) - n):
+                keep.append(i)
+                both.append(n)
+                all_.append(len(x) + len(y) - n)
+        at = pa.array(keep, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [batch.column("a").take(at), batch.column("b").take(at), pa.array(both, pa.int64()), pa.array(all_, pa.int64())],
+            ["a", "b", "n_both", "n_all"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, both, all_ = [], [], []
-            for i, (x, y) in enumerate(zip(batch.column("body_a"), batch.column("body_b"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < least * max(len(x), len(y)):
-                    continue
-                n = _shared(x, y)
-                if 100 * n >= least * (len(x) + len(y) - n):
-                    keep.append(i)
-                    both.append(n)
-                    all_.append(len(x) + len(y) - n)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").take(at), batch.column("b").take(at), pa.array(both, pa.int64()), pa.array(all_, pa.int64())],
-                ["a", "b", "n_both", "n_all"],
-            )
+            yield from map(part, slices(batch, "text_a", SLICE))
 
     return run
 
 
-def _cells(percent: int):
+def _cells(words: int, percent: int):
     """Links between the boundary copies (kind 0) of a cell and its members (kind 1), one for each copy at most.
 
-    Rows cell, slot, kind, id, similarity, body come sorted by the first three. The
+    Rows cell, slot, kind, id, alike, text come sorted by the first three. The
     copies of a cell and slot are held, its members pass one by one.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, copies, index = None, [], None
-        for batch in batches:
+        for part in (p for b in batches for p in slices(b, "text", SLICE)):
             found: list[tuple[int, int]] = []
-            for cell, slot, kind, own, alike, body in zip(*(batch.column(i) for i in range(6)), strict=True):
-                if (cell.as_py(), slot.as_py()) != key:
-                    key, copies, index = (cell.as_py(), slot.as_py()), [], None
-                tokens = np.frombuffer(body.as_buffer(), np.uint64)
-                if kind.as_py() == 0:
-                    copies.append((own.as_py(), alike.as_py(), tokens))
+            made, edges = shingle_sets(part.column("text"), words)
+            rows = zip(*(part.column(i).to_pylist() for i in range(5)), edges[:-1], edges[1:], strict=True)
+            for cell, slot, kind, own, alike, start, end in rows:
+                if (cell, slot) != key:
+                    key, copies, index = (cell, slot), [], None
+                tokens = made[start:end]
+                if kind == 0:
+                    copies.append((own, alike, tokens.copy()))
                     continue
                 if not copies:
                     continue
                 if index is None:
                     held = np.concatenate([c[2] for c in copies])
-                    whose = np.repeat(np.arange(len(copies)), [len(c[2]) for c in copies])
-                    order = np.argsort(held, kind="stable")
-                    index = held[order], whose[order]
                     sizes = np.array([len(c[2]) for c in copies])
+                    order = np.argsort(held, kind="stable")
+                    index = held[order], np.repeat(np.arange(len(copies)), sizes)[order]
                     near = np.array([c[1] for c in copies])
                     open_ = np.ones(len(copies), dtype=bool)
                 # The triangle inequality: distances to the pivot differ by the radius at most.
-                look = open_ & (near + (100 - percent) / 100 + 1e-9 >= alike.as_py())
+                look = open_ & (near + (100 - percent) / 100 + 1e-9 >= alike)
                 if not look.any():
                     continue
                 lo, hi = np.searchsorted(index[0], tokens), np.searchsorted(index[0], tokens, side="right")
@@ -201,31 +193,31 @@ def _cells(percent: int):
                 both = np.bincount(index[1][at], minlength=len(copies))
                 hit = look & (100 * both >= percent * (sizes + len(tokens) - both))
                 open_ &= ~hit
-                found += [(own.as_py(), copies[i][0]) for i in np.flatnonzero(hit)]
+                found += [(own, copies[i][0]) for i in np.flatnonzero(hit)]
             yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], schema=schema)
 
     return run
 
 
-def _pairs_measured(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+def _pairs_measured(pairs: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
     """``pairs`` (a, b) of sets that are alike enough, with the sizes of intersection and union."""
-    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
-    rows = rows.join(sets.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b")
-    return rows.select("a", "b", "body_a", "body_b").mapInArrow(_measured(least), "a long, b long, n_both long, n_all long")
+    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    rows = rows.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    return rows.select("a", "b", "text_a", "text_b").mapInArrow(_measured(words, least), "a long, b long, n_both long, n_all long")
 
 
-def _links(classes: DataFrame, sets_of, percent: int) -> DataFrame:
-    """Links (a, b) that join the components of the sets ``classes`` (id, rare); ``sets_of`` gives the bodies of ids."""
+def _links(classes: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of the sets ``classes`` (id, rare); ``texts_of`` gives a text (id, text) of each id."""
     near_percent = max(0, 2 * percent - 100)  # two radii
     tokens = classes.select("id", F.explode("rare").alias("token"))
     ends = tokens.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     region = materialize(tokens.join(ends, "token").select("token", "id", F.array("low").alias("pivots")))
-    sets = sets_of(region.select("id").distinct())
+    texts = texts_of(region.select("id").distinct())
     links, boundary, round_ = [], [], 0
     while region.limit(1).count():
         held = region.select("id", F.explode("pivots").alias("pivot")).where("id <> pivot")
         pairs = held.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        measured = materialize(_pairs_measured(pairs, sets, near_percent))
+        measured = materialize(_pairs_measured(pairs, texts, words, near_percent))
         linked = measured.where(F.expr(f"100 * n_both >= {percent} * n_all"))
         links.append(linked)
         boundary.append(measured.where(F.expr(f"100 * n_both < {percent} * n_all")))
@@ -244,10 +236,10 @@ def _links(classes: DataFrame, sets_of, percent: int) -> DataFrame:
     edge = boundary[0]
     for x, y in zip(links[1:], boundary[1:], strict=True):
         found, edge = found.unionByName(x), edge.unionByName(y)
-    return found.select("a", "b").unionByName(_across(found, edge, sets, percent)).distinct()
+    return found.select("a", "b").unionByName(_across(found, edge, texts, words, percent)).distinct()
 
 
-def _across(found: DataFrame, boundary: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(found: DataFrame, boundary: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between cells and those of their boundary copies that are in other components yet."""
     alike = (F.col("n_both") / F.col("n_all")).alias("alike")
     both = lambda d: d.select(F.col("a").alias("cell"), F.col("b").alias("id"), alike).unionByName(
@@ -264,10 +256,10 @@ def _across(found: DataFrame, boundary: DataFrame, sets: DataFrame, percent: int
     members = both(found).distinct().join(slots, "cell").select(
         "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - F.lit(1).cast("long"))).alias("slot"), F.lit(1).alias("kind"), "id", "alike"
     )
-    rows = put.unionByName(members).join(sets, "id").select("cell", "slot", "kind", "id", "alike", "body")
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = put.unionByName(members).join(texts, "id").select("cell", "slot", "kind", "id", "alike", "text")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "cell", "slot").sortWithinPartitions("cell", "slot", "kind")
-    return materialize(dealt.mapInArrow(_cells(percent), "a long, b long"))
+    return materialize(dealt.mapInArrow(_cells(words, percent), "a long, b long"))
 
 
 def near_components(
@@ -299,25 +291,25 @@ def near_components(
     top = seen.orderBy(F.desc("n"), "token").limit(heavy).toPandas()
     top = top.assign(token=top["token"].to_numpy().astype("int64").view("uint64")).sort_values("token")
     often, rank = top["token"].to_numpy(), top["n"].to_numpy()
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text)
     prints = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), text).mapInArrow(
-            _prints(words, percent, often, rank), f"doc_id {kind}, n long, digest binary, rare array<long>"
+        rows.mapInArrow(
+            _prints(words, percent, often, rank), f"doc_id {kind}, text_hash long, n long, digest binary, rare array<long>"
         )
     )
-    lead = F.min_by(F.col("doc_id"), F.struct(F.col("doc_id").isNull(), "doc_id"))
-    classes = prints.where("n > 0").groupBy("digest").agg(lead.alias("lead"), F.first("rare").alias("rare"))
+    lead = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("lead")
+    classes = prints.where("n > 0").groupBy("digest").agg(lead, F.first("rare").alias("rare"))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()))
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        asked = materialize(ids.join(classes.select("id", "lead", "digest"), "id"))
-        leads = asked.select(F.col("lead").alias("_lead")).distinct()
-        texts = docs.select(F.col(id_col).alias("_id"), text).join(leads, F.col("_id").eqNullSafe(F.col("_lead")), "left_semi")
-        bodies = texts.select("text").distinct().mapInArrow(_sets(words), "digest binary, body binary")
-        own = asked.select("id", "digest").join(bodies, "digest").groupBy("id").agg(F.first("body").alias("body"))
-        return materialize(own)
+    def texts_of(ids: DataFrame) -> DataFrame:
+        asked = ids.join(classes.select("id", "lead"), "id").select("id", "lead.doc_id", "lead.text_hash")
+        # Of rows that repeat id and text one is read; null ids meet by the text alone.
+        one = rows.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
+        same = one["doc_id"].eqNullSafe(asked["doc_id"]) & (one["text_hash"] == asked["text_hash"])
+        return materialize(one.join(asked, same).select("id", "text"))
 
-    roots = connected_components(_links(classes.select("id", "rare"), sets_of, percent))
-    own = classes.join(roots, F.col("id") == F.col("node"), "left").select("digest", "lead", F.coalesce("root", "id").alias("root"))
+    roots = connected_components(_links(classes.select("id", "rare"), texts_of, words, percent))
+    own = classes.join(roots, F.col("id") == F.col("node"), "left").select("digest", F.col("lead.doc_id").alias("lead"), F.coalesce("root", "id").alias("root"))
     names = own.groupBy("root").agg(F.min("lead").alias("component_id"))
     named = materialize(own.join(names, "root").select("digest", "component_id"))
     with_words = prints.where("n > 0").join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

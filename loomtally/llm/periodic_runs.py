@@ -152,7 +152,7 @@ def _detect(fewest: int, times: int, slice_bytes: int):
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, n, length, packed = split_words(batch.column("text"))[:4]
+        words, n, length, packed = split_words(batch.column("text"))
         runs = find_runs_in(words, n, fewest, times)
         doc, start, size, period = runs
         of = np.append(0, np.cumsum(np.bincount(doc, minlength=len(n)))).astype(np.int32)

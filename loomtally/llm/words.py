@@ -20,12 +20,15 @@ def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         at = end
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Numbers of all words, words of each text, lengths of the words in bytes, the bytes of all words, distinct words.
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit over all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    Words are what ASCII white space parts; with ``lower`` A-Z count as a-z. Equal
-    words have equal numbers, places in the array of distinct words.
-    """
+
+def _cut(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, where each word begins (one more at the end) in the bytes of all words, and those."""
     held = texts.cast(pa.large_binary())
     offsets = np.frombuffer(held.buffers()[1], dtype=np.int64)[held.offset : held.offset + len(held) + 1]
     data = np.frombuffer(held.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
@@ -40,9 +43,39 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
     packed = data[inside]
     if lower:
         packed[(packed >= 65) & (packed <= 90)] += 32
-    length = np.diff(np.append(np.cumsum(inside)[starts] - 1, len(packed)))
-    bounds = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(packed)])
-    coded = pc.dictionary_encode(words)
-    numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    return numbers, n.astype(np.int64), length.astype(np.int64), packed, coded.dictionary
+    bounds = np.append(np.cumsum(inside)[starts] - 1, len(packed)).astype(np.int64)
+    return n.astype(np.int64), bounds, packed
+
+
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of all words, words of each text, lengths of the words in bytes, and the bytes of all words.
+
+    Words are what ASCII white space parts; with ``lower`` A-Z count as a-z. Equal
+    words have equal numbers, below the number of words.
+    """
+    n, bounds, packed = _cut(texts, lower)
+    words = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(packed)])
+    numbers = pc.dictionary_encode(words).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return numbers, n, np.diff(bounds), packed
+
+
+_TABLE_PLACES = 64
+#: A random number for each byte at each of the first places of a word.
+_TABLE = mix(np.arange(1, _TABLE_PLACES * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, and the words of each text; words as in ``split_words``.
+
+    A hash is the sum of random numbers, one for each byte and place, mixed with the length.
+    """
+    n, bounds, packed = _cut(texts, lower)
+    length = np.diff(bounds)
+    if not len(length):
+        return np.empty(0, np.uint64), n
+    place = np.arange(len(packed)) - np.repeat(bounds[:-1], length)
+    key = place * 256 + packed
+    value = _TABLE[key % len(_TABLE)]
+    far = np.flatnonzero(place >= _TABLE_PLACES)
+    value[far] = mix((key[far] + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(value, bounds[:-1]) + length.astype(np.uint64)), n
