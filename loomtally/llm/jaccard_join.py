@@ -105,8 +105,9 @@ def _prints(words: int, percent: int, often: np.ndarray, rank: np.ndarray):
             pa.array(np.append(0, np.cumsum(few)).astype(np.int32)), pa.array(made[order][taken].view(np.int64))
         )
         digests = [xxhash.xxh3_128_digest(made[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        columns = [*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(n), pa.array(digests, pa.binary()), rare]
-        return pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "n", "digest", "rare"])
+        sketches = pa.array([sketch(made[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+        columns = [*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(n), pa.array(digests, pa.binary()), rare, sketches]
+        return pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "n", "digest", "rare", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,6 +116,44 @@ def _prints(words: int, percent: int, often: np.ndarray, rank: np.ndarray):
     return run
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many hashes of a set fall into each of its buckets, a power of two of them, by their last bits.
+
+    Nothing for a set whose counts don't fit a byte; such sets pass every test.
+    """
+    buckets = 1 << max(0, len(tokens).bit_length() - 1)
+    counts = np.bincount((tokens & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> int:
+    """An upper bound of the numbers that two sets of these sketches have in common."""
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    while len(x) != len(y):  # the finer one is folded
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    return int(np.minimum(x, y).sum())
+
+
+def _possible(least: int):
+    """Of pairs a, b of sets of n_a and n_b those that their sketches allow to be alike in ``least`` percent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            rows = zip(*(batch.column(c) for c in ("sketch_a", "sketch_b")), *(batch.column(c).to_pylist() for c in ("n_a", "n_b")), strict=True)
+            for i, (x, y, n, m) in enumerate(rows):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                both = most_shared(x, y) if len(x) and len(y) else min(n, m)
+                if 100 * both >= least * (n + m - both):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
+
+    return run
+
+
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
     """Numbers that two sorted arrays without repeats have in common."""
     if len(x) > len(y):
@@ -199,15 +238,25 @@ def _cells(words: int, percent: int):
     return run
 
 
-def _pairs_measured(pairs: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
-    """``pairs`` (a, b) of sets that are alike enough, with the sizes of intersection and union."""
-    rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    rows = rows.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+def _pairs_measured(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
+    """``pairs`` (a, b) of sets that are alike enough, with the sizes of intersection and union.
+
+    Sizes, then sketches, drop pairs that can't be; texts are read for the others.
+    """
+
+    def of(side: str, held: DataFrame, *columns: str) -> DataFrame:
+        return held.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+
+    sized = pairs.join(of("a", classes, "n"), "a").join(of("b", classes, "n"), "b")
+    sized = materialize(sized.where(F.expr(f"100 * least(n_a, n_b) >= {least} * greatest(n_a, n_b)")))
+    drawn = sized.join(of("a", classes, "sketch"), "a").join(of("b", classes, "sketch"), "b")
+    left = materialize(drawn.mapInArrow(_possible(least), "a long, b long"))
+    rows = left.join(of("a", texts, "text"), "a").join(of("b", texts, "text"), "b")
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(_measured(words, least), "a long, b long, n_both long, n_all long")
 
 
 def _links(classes: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the components of the sets ``classes`` (id, rare); ``texts_of`` gives a text (id, text) of each id."""
+    """Links (a, b) that join the components of the sets ``classes`` (id, n, rare, sketch); ``texts_of`` gives a text (id, text) of each id."""
     near_percent = max(0, 2 * percent - 100)  # two radii
     tokens = classes.select("id", F.explode("rare").alias("token"))
     ends = tokens.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
@@ -217,7 +266,7 @@ def _links(classes: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
     while region.limit(1).count():
         held = region.select("id", F.explode("pivots").alias("pivot")).where("id <> pivot")
         pairs = held.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        measured = materialize(_pairs_measured(pairs, texts, words, near_percent))
+        measured = materialize(_pairs_measured(pairs, classes, texts, words, near_percent))
         linked = measured.where(F.expr(f"100 * n_both >= {percent} * n_all"))
         links.append(linked)
         boundary.append(measured.where(F.expr(f"100 * n_both < {percent} * n_all")))
@@ -294,11 +343,11 @@ def near_components(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text)
     prints = materialize(
         rows.mapInArrow(
-            _prints(words, percent, often, rank), f"doc_id {kind}, text_hash long, n long, digest binary, rare array<long>"
+            _prints(words, percent, often, rank), f"doc_id {kind}, text_hash long, n long, digest binary, rare array<long>, sketch binary"
         )
     )
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("lead")
-    classes = prints.where("n > 0").groupBy("digest").agg(lead, F.first("rare").alias("rare"))
+    classes = prints.where("n > 0").groupBy("digest").agg(lead, *(F.first(c).alias(c) for c in ("n", "rare", "sketch")))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()))
 
     def texts_of(ids: DataFrame) -> DataFrame:
@@ -308,7 +357,7 @@ def near_components(
         same = one["doc_id"].eqNullSafe(asked["doc_id"]) & (one["text_hash"] == asked["text_hash"])
         return materialize(one.join(asked, same).select("id", "text"))
 
-    roots = connected_components(_links(classes.select("id", "rare"), texts_of, words, percent))
+    roots = connected_components(_links(classes, texts_of, words, percent))
     own = classes.join(roots, F.col("id") == F.col("node"), "left").select("digest", F.col("lead.doc_id").alias("lead"), F.coalesce("root", "id").alias("root"))
     names = own.groupBy("root").agg(F.min("lead").alias("component_id"))
     named = materialize(own.join(names, "root").select("digest", "component_id"))
