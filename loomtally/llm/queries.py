@@ -12,6 +12,7 @@ from loomtally.llm import (
     chat_format,
     exact_dedup,
     fingerprints,
+    hard_negatives,
     jaccard_join,
     language_id,
     lm_scoring,
@@ -113,6 +114,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_components(table(spark, sf_dir, "documents"))
 
@@ -144,6 +151,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_quality": op10_quality,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_jaccard_join": op13_jaccard_join,
         "pipeline": run,
     }
