@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from loomtally.functions import text as T
 from loomtally.functions import variant as V
-from loomtally.functions.clock import parse_ms
+from loomtally.sources.store import CONTENTS, TEXT_BEARING
 
 # Kinds of records.
-TEXT_BEARING = ("custom-title", "ai-title", "last-prompt", "agent-name", "queue-operation")
 NO_USAGE = (
     "mode", "permission-mode", "bridge-session", "file-history-snapshot", "file-history-delta", "atis-latch",
     "fork-context-ref", "system", "attachment", "summary",
@@ -59,23 +58,22 @@ def _usage(u: Column) -> list[Column]:
 def events(found: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     """The event tables of a scan; each has file_idx and line_no.
 
-    ``found`` holds the records of ``sources.lines.records``. Texts are looked at
-    only to count, sort and classify them; none is projected.
+    ``found`` holds the records of ``sources.lines.records`` with the heads of
+    ``sources.store.with_heads``. Texts are looked at only to count, sort and classify
+    them; none is projected.
     """
     dim = F.broadcast(files.select("file_idx", "file_class"))
     r = F.col("r")
     base = found.where("fate = 'object'").join(dim, "file_idx").select(
-        "file_idx", "line_no", "file_class", "r", V.any_text(r, "type").alias("type"),
-        parse_ms(V.any_text(r, "timestamp")).alias("ts_ms"), V.text(r, "sessionId", 256).alias("session_id"),
+        "file_idx", "line_no", "file_class", "r", "kind", "type", "ts_ms", V.text(r, "sessionId", 256).alias("session_id"),
         V.text(r, "uuid", 256).alias("uuid"), V.is_true(r, "isSidechain").alias("is_sidechain"),
         V.text(r, "cwd", 4096).alias("cwd"),
     )
-    journal = base.where("file_class = 'workflow_journal'")
-    log = base.where("file_class <> 'workflow_journal'")
-    kept = log.where(~F.coalesce(F.col("type").isin(*TEXT_BEARING), F.lit(False)))
+    journal = base.where("kind = 'journal'")
+    log = base.where("kind <> 'journal'")
     place = ["file_idx", "line_no"]
     who = [*place, "ts_ms", "session_id"]
-    talk = kept.where("type in ('assistant', 'user')")
+    talk = base.where("kind in ('assistant', 'user')")
 
     activity = talk.where("ts_ms is not null").select(
         *who, "uuid", "is_sidechain", F.col("type").alias("record_type"), "cwd", V.token(r, "version").alias("agent_version")
@@ -87,7 +85,7 @@ def events(found: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     )
 
     model = V.any_text(r, "message.model")
-    assistant = kept.where("type = 'assistant'")
+    assistant = base.where("kind = 'assistant'")
     made_up = F.coalesce(model == SYNTHETIC, F.lit(False))
     synthetic = assistant.where(made_up).select(*who, V.count_or_null(r, "apiErrorStatus").alias("api_error_status"))
     real = assistant.where(~made_up)
@@ -139,7 +137,7 @@ def events(found: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
         T.command_intents(F.nullif(command, F.lit(""))).alias("intents"),
     )
 
-    user = kept.where("type = 'user'")
+    user = base.where("kind = 'user'")
     denied = V.has(r, "toolDenialKind") & (V.kind(r, "toolDenialKind") != "VOID")
     denial = F.when(denied, F.coalesce(V.token(r, "toolDenialKind"), F.lit("other")))
     texts = F.filter(
@@ -168,22 +166,25 @@ def events(found: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     )
     asked = user.where(own & first.isNotNull()).select(*who, "uuid", first.startswith(INTERRUPT).alias("interrupt"))
 
-    seen = Window.partitionBy("file_idx").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    noted = kept.withColumn("ts_ms", F.last(F.when(F.col("type").isNull() | (F.col("type") != "cost-state"), F.col("ts_ms")), True).over(seen))
     dollars = V.number(r, "totalCostUSD")
     nano = F.floor(dollars * 1e9 + 0.5)
-    cost_state = noted.where("type = 'cost-state'").select(
-        *who, V.number(r, "startTime").cast("long").alias("start_ms"),
-        F.when((dollars >= 0) & (nano <= V.SAFE), nano.cast("long")).alias("reported_nano"),
+    snapshot = base.where("kind = 'cost-state'").select(
+        *place, F.lit(None).cast("long").alias("ts_ms"), "session_id", V.number(r, "startTime").cast("long").alias("start_ms"),
+        F.when((dollars >= 0) & (nano <= V.SAFE), nano.cast("long")).alias("reported_nano"), F.lit(True).alias("snapshot"),
     )
+    # A snapshot has the time last seen above it; only times of files that have one are sorted with it.
+    timed = base.where("kind in ('assistant', 'user', 'rest') and ts_ms is not null").select(*place, "ts_ms")
+    timed = timed.join(snapshot.select("file_idx").distinct(), "file_idx", "left_semi")
+    seen = Window.partitionBy("file_idx").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    noted = snapshot.unionByName(timed, True).withColumn("ts_ms", F.last("ts_ms", True).over(seen))
+    cost_state = noted.where("snapshot").drop("snapshot")
 
     flow = F.coalesce(F.col("type").isin(*WORKFLOW_EVENTS), F.lit(False))
     workflow = journal.where(flow).select(*place, F.col("type").alias("event"))
-    known = (*TEXT_BEARING, *NO_USAGE, "assistant", "user", "cost-state")
+    known = (*TEXT_BEARING, *NO_USAGE, *CONTENTS)
     label = F.when(F.col("type").isin(*known), F.col("type")).otherwise("other").alias("record_type")
     reason = F.when(F.col("type").isin(*TEXT_BEARING), "text_bearing").when(F.col("type").isin(*NO_USAGE), "no_usage_type").otherwise("unknown_type")
-    told = F.coalesce(F.col("type").isin("assistant", "user", "cost-state"), F.lit(False))
-    skipped = log.where(~told).select(*place, reason.alias("reason"), label).unionByName(
+    skipped = log.where("kind in ('text', 'rest')").select(*place, reason.alias("reason"), label).unionByName(
         journal.where(~flow).select(*place, F.lit("unknown_type").alias("reason"), label)
     )
     return {

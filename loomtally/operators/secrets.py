@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from loomtally.functions import variant as V
-from loomtally.functions.clock import parse_ms
-from loomtally.operators.parse import TEXT_BEARING
 
 #: Formats: name, pattern of the fixed head, of the random body, of what follows.
 FORMATS = (
@@ -123,21 +121,25 @@ def strings_in(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [] if t is None else [s for s in walk(json.loads(t)) if s])
 
 
+def suspect(text: Column) -> Column:
+    """Whether a line holds the head of a format; an escaped slash or letter may hide one, so lines with such escapes count."""
+    return text.rlike(ANY + r"|\\u|\\/")
+
+
 def spoken_texts(found: DataFrame, files: DataFrame) -> DataFrame:
     """What is searched: texts of users, inputs of tools and their results, with the tool's name.
 
     Lines without a head of a format are left out before anything is taken apart;
-    of the rest, only inputs of tools go through Python.
+    of the rest, only inputs of tools go through Python. ``found`` has the heads of
+    ``sources.store.with_heads``.
     """
     log = files.where("file_class <> 'workflow_journal'").select("file_idx")
     r, b = F.col("r"), F.col("b")
-    kind = V.any_text(r, "type")
     place = ["file_idx", "line_no", "ts_ms", "session_id"]
-    base = found.where("fate = 'object'").join(F.broadcast(log), "file_idx", "left_semi").where(~F.coalesce(kind.isin(*TEXT_BEARING), F.lit(False)))
-    records = base.select("file_idx", "line_no", parse_ms(V.any_text(r, "timestamp")).alias("ts_ms"), V.text(r, "sessionId", 256).alias("session_id"), kind.alias("type"), "r", "text")
+    base = found.where("kind in ('user', 'assistant')").join(F.broadcast(log), "file_idx", "left_semi")
+    records = base.select("file_idx", "line_no", "ts_ms", V.text(r, "sessionId", 256).alias("session_id"), "type", "r", "suspect")
     blocks = F.coalesce(V.get(r, "message.content", "array<variant>"), F.array().cast("array<variant>"))
-    # An escaped slash or letter may hide a head in the raw line, so lines with such escapes stay.
-    likely = records.where(F.col("text").rlike(ANY + r"|\\u|\\/"))
+    likely = records.where("suspect")
     user, own = likely.where("type = 'user'"), likely.where("type = 'assistant'")
     each = user.select(*place, F.explode(blocks).alias("b"))
     said = user.select(*place, V.any_text(r, "message.content").alias("text")).unionByName(

@@ -15,10 +15,11 @@ from loomtally.operators import secrets as S
 from loomtally.operators.methods import methods_totals
 from loomtally.operators.parse import events
 from loomtally.options import Options
-from loomtally.session import configure
+from loomtally.session import configure, shared_folder
 from loomtally.sources import prices as price_source
 from loomtally.sources.files import list_files
 from loomtally.sources.lines import read_lines, records, scan_receipts
+from loomtally.sources.store import read_store, write_store
 
 
 class Accounting:
@@ -34,13 +35,23 @@ class Accounting:
         self.spark, self.tables, self.files, self.options = configure(spark), tables, files, options or Options()
 
     @classmethod
-    def scan(cls, spark: SparkSession, roots: list[str], options: Options | None = None, now_ms: int | None = None) -> Accounting:
+    def scan(
+        cls, spark: SparkSession, roots: list[str], options: Options | None = None, now_ms: int | None = None, store: str | None = None
+    ) -> Accounting:
+        """Reads and parses every line below ``roots`` once, into the folder ``store`` or a new shared one, and opens that."""
         configure(spark)
+        path = store or shared_folder(spark, "scan")
         files = list_files(spark, roots)
-        found = records(read_lines(spark, files))
+        write_store(records(read_lines(spark, files)), files, path)
+        return cls.open(spark, path, options, now_ms)
+
+    @classmethod
+    def open(cls, spark: SparkSession, store: str, options: Options | None = None, now_ms: int | None = None) -> Accounting:
+        """The report of a scan that was kept; no transcript is read again."""
+        found, files = read_store(configure(spark), store)
         tables = events(found, files) | {"secret": S.findings(S.spoken_texts(found, files), now_ms)}
         out = cls(spark, tables, files, options)
-        out.found = found
+        out.found, out.store = found, store
         return out
 
     def _limited(self, name: str) -> DataFrame:

@@ -12,6 +12,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that all executors share; a local one only where none is named (tests)."""
+    from tempfile import mkdtemp
+    from uuid import uuid4
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = "file://" + mkdtemp(prefix="loomtally-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/loomtally/{name}-{uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package once per application, for tasks that run Python."""
     import shutil
