@@ -55,23 +55,26 @@ def _usage(u: Column) -> list[Column]:
     ]
 
 
-def events(found: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+def events(found: DataFrame, files: DataFrame | None, carry: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """The event tables of a scan; each has file_idx and line_no.
 
     ``found`` holds the records of ``sources.lines.records`` with the heads of
     ``sources.store.with_heads``. Texts are looked at only to count, sort and classify
-    them; none is projected.
+    them; none is projected. Without ``files`` the records have a file_class of their own; ``carry`` names columns
+    of theirs that every table has as well.
     """
-    dim = F.broadcast(files.select("file_idx", "file_class"))
     r = F.col("r")
-    base = found.where("fate = 'object'").join(dim, "file_idx").select(
-        "file_idx", "line_no", "file_class", "r", "kind", "type", "ts_ms", V.text(r, "sessionId", 256).alias("session_id"),
+    objects = found.where("fate = 'object'")
+    if files is not None:
+        objects = objects.join(F.broadcast(files.select("file_idx", "file_class")), "file_idx")
+    base = objects.select(
+        *dict.fromkeys(("file_idx", "line_no", "file_class", *carry)), "r", "kind", "type", "ts_ms", V.text(r, "sessionId", 256).alias("session_id"),
         V.text(r, "uuid", 256).alias("uuid"), V.is_true(r, "isSidechain").alias("is_sidechain"),
         V.text(r, "cwd", 4096).alias("cwd"),
     )
     journal = base.where("kind = 'journal'")
     log = base.where("kind <> 'journal'")
-    place = ["file_idx", "line_no"]
+    place = ["file_idx", "line_no", *carry]
     who = [*place, "ts_ms", "session_id"]
     talk = base.where("kind in ('assistant', 'user')")
 

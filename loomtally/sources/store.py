@@ -30,16 +30,20 @@ def kind(record_type: Column, file_class: Column) -> Column:
     )
 
 
-def with_heads(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds to records what all tables ask of them: type, ts_ms, kind and whether a secret may be in the line."""
+def with_heads(found: DataFrame, files: DataFrame | None) -> DataFrame:
+    """Adds to records what all tables ask of them: type, ts_ms, kind and whether a secret may be in the line.
+
+    Without ``files`` the records have their file_class themselves, as those of a stream do.
+    """
     if "kind" in found.columns:
         return found
     r = F.col("r")
-    dim = F.broadcast(files.select("file_idx", "file_class"))
-    headed = found.join(dim, "file_idx", "left").withColumns(
+    placed = found if files is None else found.join(F.broadcast(files.select("file_idx", "file_class")), "file_idx", "left")
+    headed = placed.withColumns(
         {"type": V.any_text(r, "type"), "ts_ms": parse_ms(V.any_text(r, "timestamp")), "suspect": suspect(F.col("text"))}
     )
-    return headed.withColumn("kind", kind(F.col("type"), F.col("file_class"))).drop("file_class")
+    headed = headed.withColumn("kind", kind(F.col("type"), F.col("file_class")))
+    return headed if files is None else headed.drop("file_class")
 
 
 def write_store(found: DataFrame, files: DataFrame, path: str) -> None:
