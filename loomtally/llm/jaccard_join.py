@@ -7,9 +7,11 @@ rare shingles: sets within r share one of their ``n - ceil((1 - r) n) + 1`` rare
 each of those makes a region of the sets that have it (any one order of shingles is
 right; the commonest come last). Then, region by region and all regions at once:
 
-* some sets of the region become its pivots, and every other set is held against them,
+* some sets of the region become its pivots, and every other set is held against them
+  (where sizes and the place of the region's shingle allow a link; of a linked pair the
+  region of the first shingle in order that both have always does),
 * sets within r of a pivot are linked to it and leave the region for the pivot's cell,
-* sets beyond r but within 2r lie on the cell's boundary: they stay, and a copy goes to the cell,
+* sets beyond r but within 2r of a pivot that has a cell lie on its boundary: they stay, and a copy goes to the cell,
 * what stays is divided again by new pivots, more of them each time, until nothing is left.
 
 Two linked sets stay in a region together until one of them becomes a pivot, which
@@ -255,36 +257,74 @@ def _pairs_measured(pairs: DataFrame, classes: DataFrame, texts: DataFrame, word
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(_measured(words, least), "a long, b long, n_both long, n_all long")
 
 
+def _fits(x, p, percent: int):
+    """Whether the sizes and places of a region's token let set ``x`` and pivot ``p`` be alike in ``percent``.
+
+    In the region of the first token in order that two sets share, no more than that
+    token and what follows it in both can be shared.
+    """
+    most = F.least(x["n"] - x["pos"], p["n"] - p["pos"])
+    return 100 * most >= percent * (x["n"] + p["n"] - most)
+
+
+def _able(region: DataFrame, percent: int) -> DataFrame:
+    """The sets of each region that can have a link there at all, by the best place any set of the region has."""
+    best = region.groupBy("token").agg(F.count("*").alias("many"), F.min(F.col("pos") / F.col("n")).alias("best"))
+    # A link to a set with the share f before the token needs 1 / (1 - own share) + 1 / (1 - f) to be at most 1 + 100 / percent.
+    known = region.join(best.where("many > 1"), "token")
+    return known.where(F.expr(f"n / (n - pos) + 1 / (1 - best) <= 1 + 100 / {percent} + 1e-9")).drop("many", "best")
+
+
+def _near_sizes(x, p, percent: int):
+    return 100 * F.least(x["n"], p["n"]) >= percent * F.greatest(x["n"], p["n"])
+
+
 def _links(classes: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
     """Links (a, b) that join the components of the sets ``classes`` (id, n, rare, sketch); ``texts_of`` gives a text (id, text) of each id."""
     near_percent = max(0, 2 * percent - 100)  # two radii
-    tokens = classes.select("id", F.explode("rare").alias("token"))
+    x = {"n": F.col("n"), "pos": F.col("pos")}
+    pair = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
+    tokens = classes.select("id", F.col("n").cast("int").alias("n"), F.posexplode("rare").alias("pos", "token"))
     ends = tokens.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    region = materialize(tokens.join(ends, "token").select("token", "id", F.array("low").alias("pivots")))
+    region = materialize(_able(tokens.join(ends.select("token"), "token"), percent))
     texts = texts_of(region.select("id").distinct())
     links, boundary, round_ = [], [], 0
+
+    def asked(held: DataFrame, test) -> DataFrame:
+        """Pairs of a set and a pivot of its region that pass ``test``; those that don't are never made."""
+        fit = F.filter("pivots", lambda p: (p["id"] != F.col("id")) & test(p))
+        each = held.select("id", F.explode(fit).alias("p")).select("id", F.col("p.id").alias("pivot"))
+        return each.select(*pair).distinct()
+
     while region.limit(1).count():
-        held = region.select("id", F.explode("pivots").alias("pivot")).where("id <> pivot")
-        pairs = held.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        measured = materialize(_pairs_measured(pairs, classes, texts, words, near_percent))
-        linked = measured.where(F.expr(f"100 * n_both >= {percent} * n_all"))
+        # The first pivot has the least that is rarer than the token, so it lies amid its near copies.
+        own = F.struct("id", "n", "pos")
+        chosen = [F.min_by(own, F.struct("pos", "id"))]
+        chosen += [F.min_by(own, F.xxhash64("id", F.lit(round_), F.lit(i))) for i in range(min(PIVOTS, (2 << round_) - 2))]
+        some = region.groupBy("token").agg(F.count("*").alias("many"), F.array_distinct(F.array(*chosen)).alias("pivots"))
+        held = materialize(region.join(some.where("many > 1").drop("many"), "token"))
+        tried = asked(held, lambda p: _fits(x, p, percent) & _near_sizes(x, p, percent))
+        linked = materialize(_pairs_measured(tried, classes, texts, words, percent).select("a", "b", "n_both", "n_all"))
         links.append(linked)
-        boundary.append(measured.where(F.expr(f"100 * n_both < {percent} * n_all")))
+        # Only pivots with a link have a cell, and so a boundary.
+        ends_of = linked.select(F.explode(F.array("a", "b")).alias("pivot")).distinct()
+        flat = held.select("token", "id", "n", "pos", F.explode("pivots").alias("p")).where("id <> p.id")
+        flat = flat.select("token", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("m"))
+        celled = flat.join(ends_of, "pivot", "left_semi").where(f"100 * least(n, m) >= {near_percent} * greatest(n, m)")
+        near = celled.select("token", "id", *pair)
+        wide = near.select("a", "b").distinct().join(linked, ["a", "b"], "left_anti")
+        boundary.append(materialize(_pairs_measured(wide, classes, texts, words, near_percent)))
         # A set leaves a region as one of its pivots or into the cell of one.
-        gone = held.withColumns({"a": F.least("id", "pivot"), "b": F.greatest("id", "pivot")}).join(linked.select("a", "b"), ["a", "b"])
-        inside = region.where(~F.array_contains("pivots", F.col("id"))).select("token", "id", F.explode("pivots").alias("pivot"))
-        gone = inside.join(gone.select("id", "pivot").distinct(), ["id", "pivot"]).select("token", "id").distinct()
-        rest = region.where(~F.array_contains("pivots", F.col("id"))).join(gone, ["token", "id"], "left_anti").select("token", "id")
+        gone = near.join(linked.select("a", "b"), ["a", "b"], "left_semi").select("token", "id").distinct()
+        rest = held.where(~F.exists("pivots", lambda p: p["id"] == F.col("id"))).drop("pivots")
+        region = materialize(_able(rest.join(gone, ["token", "id"], "left_anti"), percent))
         round_ += 1
-        chosen = [F.min_by("id", F.xxhash64("id", F.lit(round_), F.lit(i))) for i in range(min(PIVOTS, 2 << round_))]
-        some = rest.groupBy("token").agg(F.count("*").alias("n"), F.array_distinct(F.array(*chosen)).alias("pivots")).where("n > 1")
-        region = materialize(rest.join(some.drop("n"), "token"))
     if not links:
         return classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
     found = links[0]
     edge = boundary[0]
-    for x, y in zip(links[1:], boundary[1:], strict=True):
-        found, edge = found.unionByName(x), edge.unionByName(y)
+    for more, wider in zip(links[1:], boundary[1:], strict=True):
+        found, edge = found.unionByName(more), edge.unionByName(wider)
     return found.select("a", "b").unionByName(_across(found, edge, texts, words, percent)).distinct()
 
 
@@ -317,7 +357,7 @@ def near_components(
     text_col: str = "text",
     words: int = 4,
     percent: int = 85,
-    heavy: int = 1 << 17,
+    heavy: int = 1 << 19,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -336,7 +376,7 @@ def near_components(
     ship(docs.sparkSession)
     text = text_or_empty(text_col).alias("text")
     kind = docs.schema[id_col].dataType.simpleString()
-    seen = docs.select(text).mapInArrow(_often(words, 4), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    seen = docs.select(text).mapInArrow(_often(words, 2), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = seen.orderBy(F.desc("n"), "token").limit(heavy).toPandas()
     top = top.assign(token=top["token"].to_numpy().astype("int64").view("uint64")).sort_values("token")
     often, rank = top["token"].to_numpy(), top["n"].to_numpy()
