@@ -31,13 +31,17 @@ def _kind(v) -> str:
 
 
 def walk(value) -> Iterator[tuple]:
-    """(path, shape, shape of the holder, kind, text, number) of a value and all inside it; as deep as it goes."""
+    """(path, shape, shape of the holder, kind, text, number) of a value and all inside it, as deep as it goes.
+
+    The number of an array or object is how many values it holds.
+    """
     stack = [("$", "$", "", value)]
     while stack:
         path, shape, above, v = stack.pop()
         kind = _kind(v)
         text = v if kind == "string" else str(v).lower() if kind == "boolean" else None
-        yield path, shape, above, kind, text, float(v) if kind in ("integer", "number") else None
+        size = v if kind in ("integer", "number") else len(v) if kind in ("array", "object") else None
+        yield path, shape, above, kind, text, None if size is None else float(size)
         if kind == "object":
             stack += [(f"{path}.{k}", f"{shape}.{k}", shape, x) for k, x in reversed(v.items())]
         elif kind == "array":
@@ -78,7 +82,8 @@ def leaves(df: DataFrame, keys: list[str], column: str) -> DataFrame:
 
 def rule(name: str, path: str, kinds: str, pattern: str | None = None, low: float | None = None, high: float | None = None, required: bool = True, closed: bool = False):
     """A row of a table of rules; ``kinds`` are parted by blanks; ``closed`` objects have no keys but those with rules."""
-    return (name, path, kinds.split(), pattern, low, high, required, closed)
+    bounds = (None if x is None else float(x) for x in (low, high))
+    return (name, path, kinds.split(), pattern, *bounds, required, closed)
 
 
 def problems(found: DataFrame, keys: list[str], rules: list[tuple]) -> DataFrame:
@@ -89,7 +94,7 @@ def problems(found: DataFrame, keys: list[str], rules: list[tuple]) -> DataFrame
     table = F.broadcast(found.sparkSession.createDataFrame(rules, RULES))
     met = found.join(table, F.col("shape") == F.col("at"))
     whole = ~F.array_contains("kinds", F.col("kind")) & ~((F.col("kind") == "integer") & F.array_contains("kinds", F.lit("number")))
-    spelt = F.coalesce((F.col("kind") == "string") & F.col("pattern").isNotNull() & ~F.col("text").rlike(F.col("pattern")), F.lit(False))
+    spelt = F.coalesce((F.col("kind") == "string") & F.col("pattern").isNotNull() & ~F.rlike("text", F.col("pattern")), F.lit(False))
     out = F.coalesce((F.col("number") < F.col("low")) | (F.col("number") > F.col("high")), F.lit(False))
     broken = met.where(whole | spelt | out).select(*keys, "rule", "path")
     # A key is required of every object that its parent's shape has.
