@@ -17,7 +17,7 @@ from loomtally.operators.parse import events
 from loomtally.options import Options
 from loomtally.session import configure, shared_folder
 from loomtally.sources import prices as price_source
-from loomtally.sources.files import list_files
+from loomtally.sources.files import files_of, list_tree, unlisted
 from loomtally.sources.lines import read_lines, records, scan_receipts
 from loomtally.sources.store import read_store, write_store
 
@@ -41,7 +41,9 @@ class Accounting:
         """Reads and parses every line below ``roots`` once, into the folder ``store`` or a new shared one, and opens that."""
         configure(spark)
         path = store or shared_folder(spark, "scan")
-        files = list_files(spark, roots)
+        tree = list_tree(spark, roots)
+        files = files_of(tree)
+        unlisted(tree).write.parquet(f"{path}/unlisted")
         write_store(records(read_lines(spark, files)), files, path)
         return cls.open(spark, path, options, now_ms)
 

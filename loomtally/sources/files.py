@@ -5,13 +5,21 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import islice
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomtally.session import shared_folder, ship
+
 DEPTHS = {"main": 0, "subagent": 1, "workflow_agent": 2, "workflow_journal": 3}
 SCHEMA = "file_idx int, root_idx int, rel_path string, path string, file_class string, depth int, size long"
+LISTED = "root_idx int, rel_path string, path string, what string, size long"
+ARROW = pa.schema([("root_idx", pa.int32()), ("rel_path", pa.string()), ("path", pa.string()), ("what", pa.string()), ("size", pa.int64())])
+BATCH = 10_000
 
 
 def default_roots(env: dict[str, str], home: str, app: str) -> list[str]:
@@ -65,20 +73,107 @@ def with_class(df: DataFrame, rel_path: str = "rel_path") -> DataFrame:
     )
 
 
-def list_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """One row per file below ``roots``, symbolic links not followed; sizes as they are now."""
-    rows = []
-    for i, root in enumerate(roots):
-        for folder, _, names in os.walk(root):
-            for name in names:
-                path = os.path.join(folder, name)
-                if not os.path.islink(path):
-                    rows.append((i, os.path.relpath(path, root), path, os.path.getsize(path)))
-    # The order of files is that of their relative paths as UTF-16 text, then of roots.
-    rows.sort(key=lambda r: (r[0], r[1].encode("utf-16-be", "surrogatepass")))
-    listed = [(n, *r) for n, r in enumerate(rows)]
-    df = spark.createDataFrame(listed, "file_idx int, root_idx int, rel_path string, path string, size long")
-    return with_class(df)
+def _inside(folder: str) -> Iterator[tuple[str, str, int | None]]:
+    """(name, what, size) of each thing in a folder: a file, a folder, a link, other or unreadable; links are not followed."""
+    if "://" not in folder:
+        with os.scandir(folder) as entries:
+            for e in entries:
+                name = e.name.encode("utf-8", "replace").decode()
+                try:
+                    kinds = (("link", e.is_symlink()), ("folder", e.is_dir(follow_symlinks=False)), ("file", e.is_file(follow_symlinks=False)))
+                    what = next((k for k, yes in kinds if yes), "other") if name == e.name else "unreadable"
+                    size = e.stat(follow_symlinks=False).st_size if what == "file" else None
+                except OSError:
+                    what, size = "unreadable", None
+                yield name, what, size
+        return
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(folder)
+    for x in system.get_file_info(fs.FileSelector(inner)):
+        what = {fs.FileType.File: "file", fs.FileType.Directory: "folder"}.get(x.type, "other")
+        yield x.base_name, what, x.size if what == "file" else None
+
+
+def _below(root_idx: int, rel_path: str, path: str) -> Iterator[tuple]:
+    """Rows of ``LISTED`` for what a folder holds; one of its own where it can't be read (to the end)."""
+    named = quote if "://" in path else str
+    try:
+        for name, what, size in _inside(path):
+            yield root_idx, f"{rel_path}/{name}" if rel_path else name, f"{path.rstrip('/')}/{named(name)}", what, size
+    except OSError:
+        yield root_idx, rel_path, path, "unreadable", None
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            below = _below(r["root_idx"], r["rel_path"], r["path"])
+            while rows := list(islice(below, BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
+
+
+def list_tree(spark: SparkSession, roots: list[str], at_once: int = 256) -> DataFrame:
+    """Everything below ``roots`` (folders or URIs): root_idx, rel_path, path, what, size.
+
+    ``what`` is file, folder, link (never followed, so no cycle is entered), other
+    or unreadable, which a folder that can't be read or is gone is, too. The driver
+    lists no more than ``at_once`` folders a level and 40 times as many things; the
+    rest is listed level by level by tasks, each level written once.
+    """
+    found, level, left = [], [(i, "", root) for i, root in enumerate(roots)], []
+    while level and not left:
+        deeper = []
+        for folder in level:
+            rows = list(islice(_below(*folder), at_once + 1)) if len(level) <= at_once and len(found) <= 40 * at_once else None
+            if rows is None or len(rows) > at_once:
+                left.append(folder)
+                continue
+            found += rows
+            deeper += [r[:3] for r in rows if r[3] == "folder"]
+        level = deeper
+    own = spark.createDataFrame(found, LISTED)
+    if not left:
+        return own
+    ship(spark)
+    kept = shared_folder(spark, "listing")
+    ahead, n = spark.createDataFrame(left + level, "root_idx int, rel_path string, path string"), 0
+    while folders := ahead.count():
+        tasks = min(folders, 4 * spark.sparkContext.defaultParallelism)
+        below = ahead.repartition(tasks, "root_idx", "rel_path").mapInArrow(_list_folders, LISTED)
+        below.write.parquet(f"{kept}/level={n}")
+        ahead, n = spark.read.schema(LISTED).parquet(f"{kept}/level={n}").where("what = 'folder'").select("root_idx", "rel_path", "path"), n + 1
+    return own.unionByName(spark.read.schema(LISTED).parquet(*(f"{kept}/level={i}" for i in range(n))))
+
+
+def _in_order(files: DataFrame) -> DataFrame:
+    """Numbers files by root and path as UTF-16 text: a sort by ranges, each range beginning where those before it end."""
+    kept = shared_folder(files.sparkSession, "files")
+    files.orderBy("root_idx", F.encode("rel_path", "UTF-16BE")).withColumn("_n", F.monotonically_increasing_id()).write.parquet(kept)
+    placed = files.sparkSession.read.parquet(kept).withColumn("_part", F.shiftright("_n", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    firsts = placed.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"))
+    idx = (F.col("_first") + F.col("_n").bitwiseAND((1 << 33) - 1)).cast("int").alias("file_idx")
+    return placed.join(F.broadcast(firsts), "_part").select(idx, "root_idx", "rel_path", "path", "size")
+
+
+def list_files(spark: SparkSession, roots: list[str], at_once: int = 256) -> DataFrame:
+    """One row per file below ``roots``, symbolic links not followed; sizes as they were when listed."""
+    return files_of(list_tree(spark, roots, at_once), 40 * at_once)
+
+
+def files_of(tree: DataFrame, at_once: int = 10_240) -> DataFrame:
+    """The files of a listing with their number and class; no more than ``at_once`` are sorted by one task."""
+    files = tree.where("what = 'file'").drop("what")
+    if files.limit(at_once + 1).count() > at_once:
+        return with_class(_in_order(files))
+    order = Window.orderBy("root_idx", F.encode("rel_path", "UTF-16BE"))
+    return with_class(files.select((F.row_number().over(order) - 1).alias("file_idx"), "root_idx", "rel_path", "path", "size"))
+
+
+def unlisted(tree: DataFrame) -> DataFrame:
+    """Of a listing, how many things were passed over: root_idx, what (link, other, unreadable), entries."""
+    return tree.where("what in ('link', 'other', 'unreadable')").groupBy("root_idx", "what").agg(F.count("*").alias("entries"))
 
 
 def pick_root(candidates: list[str]) -> str:

@@ -8,6 +8,8 @@ and know whether the last line was ended.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,8 +22,9 @@ MAX_LINE = 64 << 20
 RANGE_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
 BLOCK = 1 << 20
-SCHEMA = "file_idx int, line_no long, terminated boolean, byte_len long, text string"
-ARROW = pa.schema([("file_idx", pa.int32()), ("line_no", pa.int64()), ("terminated", pa.bool_()), ("byte_len", pa.int64()), ("text", pa.string())])
+MOST_CHARS = 20_000_000  # of one string, beyond which Spark's parser gives up
+SCHEMA = "file_idx int, line_no long, terminated boolean, byte_len long, text string, cut_chars long"
+ARROW = pa.schema([("file_idx", pa.int32()), ("line_no", pa.int64()), ("terminated", pa.bool_()), ("byte_len", pa.int64()), ("text", pa.string()), ("cut_chars", pa.int64())])
 
 
 def _open(path: str):
@@ -79,7 +82,32 @@ def _lines_from(f, a: int, b: int, size: int, longest: int) -> Iterator[tuple[in
         yield n, False, length, b"".join(held) if length <= longest else None
 
 
-def _reader(longest: int):
+# Matches to the end of the line where a string isn't closed, so that no quote is tried twice.
+_STRING = re.compile(rb'"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\Z)', re.S)
+
+
+def without_giants(raw: bytes, most: int = MOST_CHARS) -> tuple[bytes, int]:
+    """JSON text with strings of more than ``most`` UTF-16 characters emptied, and how many characters those had.
+
+    What isn't valid stays as it is, so that it still counts as an error.
+    """
+    if len(raw) <= most:
+        return raw, 0
+    out, at, cut = [], 0, 0
+    for m in _STRING.finditer(raw):
+        if m.end() - m.start() - 2 <= most:
+            continue
+        try:
+            chars = len(json.loads(m[0].decode("utf-8", "replace")).encode("utf-16-le", "surrogatepass")) // 2
+        except ValueError:
+            continue
+        if chars > most:
+            out.append(raw[at : m.start()] + b'""')
+            at, cut = m.end(), cut + chars
+    return b"".join([*out, raw[at:]]), cut
+
+
+def _reader(longest: int, most: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -87,14 +115,15 @@ def _reader(longest: int):
                 try:
                     with _open(r["path"]) as f:
                         for n, ended, length, raw in _lines_from(f, r["a"], r["b"], r["size"], longest):
-                            text = None if raw is None else raw.removesuffix(b"\r").decode("utf-8", "replace")
-                            rows.append((r["file_idx"], r["first"] + n + 1, ended, length, text))
+                            raw, cut = (None, 0) if raw is None else without_giants(raw.removesuffix(b"\r"), most)
+                            text = None if raw is None else raw.decode("utf-8", "replace")
+                            rows.append((r["file_idx"], r["first"] + n + 1, ended, length, text, cut))
                             held += length
                             if held >= BATCH_BYTES:
                                 yield _batch(rows)
                                 rows, held = [], 0
                 except OSError:
-                    rows.append((r["file_idx"], None, None, None, None))
+                    rows.append((r["file_idx"], None, None, None, None, None))
                 if rows:
                     yield _batch(rows)
 
@@ -105,8 +134,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW.types, strict=True)], schema=ARROW)
 
 
-def read_lines(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES, longest: int = MAX_LINE) -> DataFrame:
-    """file_idx, line_no (from 1), terminated, byte_len, text (null if longer than ``longest``, without one CR at its end).
+def read_lines(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES, longest: int = MAX_LINE, most: int = MOST_CHARS) -> DataFrame:
+    """file_idx, line_no (from 1), terminated, byte_len, text (null if longer than ``longest``, without one CR at its end), cut_chars.
+
+    JSON strings of more than ``most`` characters are emptied, so that the rest of
+    their record is read; ``cut_chars`` counts what was left out.
 
     Reads no more of a file than the size it was listed with. A range that can't
     be read is one row that has a file_idx only.
@@ -123,7 +155,7 @@ def read_lines(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_B
     firsts = counted.select("file_idx", "a", F.coalesce(F.sum("breaks").over(before), F.lit(0)).alias("breaks"))
     placed = ranges.join(firsts, ["file_idx", "a"], "left")
     first = F.coalesce("breaks", F.lit(0)).cast("long").alias("first")
-    return placed.select("file_idx", "path", "size", "a", "b", first).repartition(tasks, "file_idx", "a").mapInArrow(_reader(longest), SCHEMA)
+    return placed.select("file_idx", "path", "size", "a", "b", first).repartition(tasks, "file_idx", "a").mapInArrow(_reader(longest, most), SCHEMA)
 
 
 def _tasks(spark: SparkSession, files: DataFrame, range_bytes: int) -> int:
@@ -159,5 +191,5 @@ def scan_receipts(found: DataFrame, files: DataFrame) -> DataFrame:
     fates = [F.count_if(F.col("fate") == f).alias(f"n_{f}") for f in ("object", "blank", "error", "partial", "other", "oversize", "unreadable")]
     return found.join(dim, "file_idx").groupBy("file_class").agg(
         F.countDistinct("file_idx").alias("files"), F.count("line_no").alias("lines"), F.sum("byte_len").alias("bytes"),
-        F.max("byte_len").alias("longest_line"), *fates,
+        F.max("byte_len").alias("longest_line"), *fates, F.sum("cut_chars").alias("cut_chars"),
     )

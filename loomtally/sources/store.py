@@ -49,7 +49,7 @@ def with_heads(found: DataFrame, files: DataFrame | None) -> DataFrame:
 def write_store(found: DataFrame, files: DataFrame, path: str) -> None:
     """Writes the records of a scan and its listing to the folder ``path``, which must not be there yet."""
     headed = with_heads(found, files).withColumn("r", F.when(F.col("kind").isin(*CONTENTS), F.col("r")))
-    kept = headed.select("file_idx", "line_no", "terminated", "byte_len", "fate", "type", "ts_ms", "suspect", "r", "kind")
+    kept = headed.select("file_idx", "line_no", "terminated", "byte_len", "cut_chars", "fate", "type", "ts_ms", "suspect", "r", "kind")
     kept.write.partitionBy("kind").parquet(f"{path}/records")
     files.write.parquet(f"{path}/files")
 
@@ -57,5 +57,5 @@ def write_store(found: DataFrame, files: DataFrame, path: str) -> None:
 def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The records and the files of a store."""
     files = spark.read.parquet(f"{path}/files")
-    schema = "file_idx int, line_no long, terminated boolean, byte_len long, fate string, type string, ts_ms long, suspect boolean, r variant, kind string"
+    schema = "file_idx int, line_no long, terminated boolean, byte_len long, cut_chars long, fate string, type string, ts_ms long, suspect boolean, r variant, kind string"
     return spark.read.schema(schema).parquet(f"{path}/records"), files
