@@ -31,7 +31,13 @@ FORMATS = (
     ("database_url", "(?:postgres(?:ql)?|mysql|mongodb(?:[+]srv)?|redis)://[A-Za-z0-9_.-]{1,64}:", r"[^@/:\x00-\x20]{3,}", "@[A-Za-z0-9_.-]+"),
 )
 ANY = "|".join(head for _, head, _, _ in FORMATS)
-FIXTURE = "(?i)test|mock|example|placeholder|fixture|dummy|sample|fake|changeme"
+#: A value begins behind no letter or digit; the letter of an escaped line break is none.
+EDGE = r"(?:(?<![A-Za-z0-9])|(?<=\\[nrt]))"
+#: Values of a fixed length end there.
+EXACT = ("aws_access_key", "google_api_key", "npm")
+END = "(?![A-Za-z0-9_-])"
+#: Words of their own, in the plural too; an underscore or a digit is no part of a word.
+FIXTURE = "(?i)(?:^|[^a-z])(?:test|mock|example|placeholder|fixture|dummy|sample|fake|changeme)s?(?:[^a-z]|$)"
 #: Output of these tools is other people's text.
 WEB_TOOLS = ("WebFetch", "WebSearch")
 LEAST_ENTROPY, NEAR = 3.2, 150
@@ -47,6 +53,10 @@ def entropy(text: Column) -> Column:
     )
 
 
+def _pattern(kind: str, head: str, random: str, tail: str) -> str:
+    return (head if kind == "private_key" else EDGE + head) + random + tail + (END if kind in EXACT else "")
+
+
 def _joined(pieces: Column, values: Column, a: Column, b: Column) -> Column:
     """Pieces and the values behind them, from a up to but not with b."""
     return F.when(b > a, F.array_join(F.transform(F.sequence(a, b - 1), lambda j: F.concat(F.get(pieces, j), F.get(values, j))), "")).otherwise("")
@@ -59,12 +69,13 @@ def matches(texts: DataFrame, text: str = "text") -> DataFrame:
     row each. Texts in which no head of a format stands are left out first.
     """
     kept = [c for c in texts.columns if c != text]
-    held = texts.where(F.col(text).rlike(ANY)).withColumn("_f", F.explode(F.array(*map(F.lit, range(len(FORMATS))))))
+    there = (F.when(F.col(text).rlike(head), F.lit(i)) for i, (_, head, _, _) in enumerate(FORMATS))
+    held = texts.where(F.col(text).rlike(ANY)).withColumn("_f", F.explode(F.array_compact(F.array(*there))))
     values = pieces = body = name = None
     for i, (kind, head, random, tail) in enumerate(FORMATS):
         own = F.col("_f") == i
-        whole = F.lit(head + random + tail)
-        v, p, b = F.regexp_extract_all(text, whole, F.lit(0)), F.split(text, head + random + tail, -1), F.regexp_extract("value", f"^{head}({random})", 1)
+        whole = _pattern(kind, head, random, tail)
+        v, p, b = F.regexp_extract_all(text, F.lit(whole), F.lit(0)), F.split(text, whole, -1), F.regexp_extract("value", f"^{head}({random})", 1)
         values, pieces, body, name = (
             (F.when(own, x) if old is None else old.when(own, x)) for old, x in ((values, v), (pieces, p), (body, b), (name, F.lit(kind)))
         )

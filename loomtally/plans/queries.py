@@ -518,8 +518,9 @@ def _union_except(spark, d):
 
 
 _SCANNED = " UNION ALL ".join(
-    f"""SELECT doc_id, '{k}' AS secret_type, '^{h}({b})' AS inner_, text, regexp_extract_all(text, '{h}{b}{t}') AS vs, string_split_regex(text, '{h}{b}{t}') AS ps
-    FROM planted WHERE regexp_matches(text, '{h}{b}{t}')""" for k, h, b, t in S.FORMATS
+    f"""SELECT doc_id, '{k}' AS secret_type, '^{h}({b})' AS inner_, text, regexp_extract_all(text, '{e}{h}{b}{t}{z}') AS vs, string_split_regex(text, '{e}{h}{b}{t}{z}') AS ps
+    FROM planted WHERE regexp_matches(text, '{e}{h}{b}{t}{z}')"""
+    for k, h, b, t in S.FORMATS for e, z in [("" if k == "private_key" else r"\b", r"\b" if k in S.EXACT else "")]
 )
 
 
@@ -535,7 +536,7 @@ n AS (SELECT doc_id, secret_type, i, v, regexp_extract(v, inner_, 1) AS body,
 c AS (SELECT doc_id, secret_type, i, unnest(string_split(body, '')) AS c, length(body) AS n FROM n),
 h AS (SELECT doc_id, secret_type, i, -sum(k / n * log2(k / n)) AS entropy FROM (SELECT doc_id, secret_type, i, c, any_value(n) AS n, count(*) AS k FROM c GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3)
 SELECT doc_id, secret_type, substr(sha256(v), 1, 12) AS fingerprint12,
-  CASE WHEN entropy >= 3.2 AND NOT regexp_matches(near, '(?i)test|mock|example|placeholder|fixture|dummy|sample|fake|changeme') THEN 'critical' ELSE 'likely_fixture' END AS severity,
+  CASE WHEN entropy >= 3.2 AND NOT regexp_matches(near, '{S.FIXTURE}') THEN 'critical' ELSE 'likely_fixture' END AS severity,
   count(*) AS copies FROM n JOIN h USING (doc_id, secret_type, i) GROUP BY 1, 2, 3, 4""")
 def _secrets_scan(spark, d):
     texts = _table(spark, d, "documents").select("doc_id", F.expr(_PLANTED.format("STRING")).alias("text"), F.lit("user_text").alias("place"), F.lit(None).cast("string").alias("tool_name"))
