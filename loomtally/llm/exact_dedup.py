@@ -37,7 +37,7 @@ def exact_groups(
 
     Texts are equal when identical without ASCII white space; null and empty
     texts form one group. The row with the most code points stays, then the one
-    with the smallest id; a null id comes last. Of rows that repeat an id and a
+    with the smallest id, of whatever type that can be ordered; a null id comes last. Of rows that repeat an id and a
     length within a group exactly one is marked kept. Other columns of ``docs``
     are ignored; an empty table gives no rows.
     """
@@ -52,12 +52,12 @@ def exact_groups(
         .where(F.col("copies") > per_salt)
         .select(F.col("digest").alias("hot_digest"), F.ceil(F.col("copies") / per_salt).alias("salts"))
     )
-    best = F.struct("n", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("minus"))
+    best = F.struct((-F.col("n")).alias("minus"), F.col("doc_id").isNull().alias("unknown"), "doc_id")
     salted = (
         keyed.join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
         .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "n") + F.spark_partition_id(), F.col("salts")), F.lit(0)))
         .groupBy("digest", "body", "salt", F.coalesce("salts", F.lit(1)).alias("salts"))
-        .agg(F.max(best).alias("best"), F.collect_list(best).alias("members"))
+        .agg(F.min(best).alias("best"), F.collect_list(best).alias("members"))
     )
     # From here on only groups that were salted carry their text.
     local = materialize(
@@ -70,7 +70,7 @@ def exact_groups(
     )
     spread = local.where("salts > 1")
     tops = spread.groupBy("digest", "body").agg(
-        F.max("best").alias("top"), F.sum(F.size("members")).alias("rows"), F.max("salts").alias("salts")
+        F.min("best").alias("top"), F.sum(F.size("members")).alias("rows"), F.max("salts").alias("salts")
     )
     # The winner goes to every salt of its text, so that the lists of members stay apart.
     tops = tops.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
@@ -80,8 +80,8 @@ def exact_groups(
         single.unionByName(merged)
         .select("digest", "top", "rows", (F.array_position("members", F.col("top")) - 1).alias("top_at"), member)
         .select(
-            (-F.col("m.minus")).alias("doc_id"),
-            (-F.col("top.minus")).alias("keep_id"),
+            F.col("m.doc_id").alias("doc_id"),
+            F.col("top.doc_id").alias("keep_id"),
             F.col("rows").alias("group_size"),
             (F.col("at") == F.col("top_at")).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
