@@ -42,15 +42,25 @@ def ship(spark: SparkSession) -> None:
     sc._loomtally_shipped = True
 
 
+#: Whether Spark removes the shuffle files of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
     Cuts the lineage, so later steps neither recompute it nor depend on an
-    executor that may be lost.
+    executor that may be lost. The shuffle files of the write go when it ends: what
+    follows reads the table, and without this they stay until the driver's heap is collected.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/loomtally/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
