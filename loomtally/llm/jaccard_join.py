@@ -391,11 +391,12 @@ def near_components(
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()))
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        asked = ids.join(classes.select("id", "lead"), "id").select("id", "lead.doc_id", "lead.text_hash")
+        # One column, a struct, is the key of rows and of leads: nulls in it meet, and texts are shuffled once for both steps.
+        key = F.struct("doc_id", "text_hash").alias("key")
+        asked = ids.join(classes.select("id", "lead"), "id").select("id", F.struct("lead.doc_id", "lead.text_hash").alias("key"))
         # Of rows that repeat id and text one is read; null ids meet by the text alone.
-        one = rows.groupBy("doc_id", "text_hash").agg(F.first("text").alias("text"))
-        same = one["doc_id"].eqNullSafe(asked["doc_id"]) & (one["text_hash"] == asked["text_hash"])
-        return materialize(one.join(asked, same).select("id", "text"))
+        one = rows.select(key, "text").groupBy("key").agg(F.first("text").alias("text"))
+        return materialize(one.join(asked, "key").select("id", "text"))
 
     roots = connected_components(_links(classes, texts_of, words, percent))
     own = classes.join(roots, F.col("id") == F.col("node"), "left").select("digest", F.col("lead.doc_id").alias("lead"), F.coalesce("root", "id").alias("root"))
