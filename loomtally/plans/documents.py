@@ -60,6 +60,7 @@ class Facts:
 
     def __init__(self, a: Accounting, tz: str):
         self.a, self.tz = a, tz
+        a.keep()
 
     @cached_property
     def groups(self) -> DataFrame:

@@ -228,6 +228,7 @@ HELD = 200_000
 
 def private_needles(a: Accounting, labels: bool = False) -> DataFrame:
     """category, needle: what a summary may not tell; ``labels`` too where it is for others' eyes."""
+    a.keep()
     one = lambda df, c, category: df.select(F.lit(category).alias("category"), F.col(c).alias("needle"))
     frames = [
         one(a.files, "rel_path", "log path"), one(a.priced, "project_key", "project key"), one(a.activity, "session_id", "session id"),
