@@ -280,13 +280,16 @@ def _near_sizes(x, p, percent: int):
 
 
 def _links(classes: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the components of the sets ``classes`` (id, n, rare, sketch); ``texts_of`` gives a text (id, text) of each id."""
+    """Links (a, b) that join the components of the sets ``classes`` (id, known, n, rare, sketch); ``texts_of`` gives a text (id, text) of each id.
+
+    Sets with the same number ``known`` hang together already, so a shingle that only such sets have makes no region.
+    """
     near_percent = max(0, 2 * percent - 100)  # two radii
     x = {"n": F.col("n"), "pos": F.col("pos")}
     pair = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
-    tokens = classes.select("id", F.col("n").cast("int").alias("n"), F.posexplode("rare").alias("pos", "token"))
-    ends = tokens.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    region = materialize(_able(tokens.join(ends.select("token"), "token"), percent))
+    tokens = classes.select("id", "known", F.col("n").cast("int").alias("n"), F.posexplode("rare").alias("pos", "token"))
+    ends = tokens.groupBy("token").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high")
+    region = materialize(_able(tokens.drop("known").join(ends.select("token"), "token"), percent))
     texts = texts_of(region.select("id").distinct())
     links, boundary, round_ = [], [], 0
 
@@ -371,6 +374,23 @@ def near_components(
     none. Shingles are told apart by 64-bit hashes. The ``heavy`` commonest shingles
     are put last in the order in which regions are made; it bears on speed alone.
     """
+    prints, classes = set_classes(docs, id_col, text_col, words, percent, heavy)
+    own = classes.select("digest", F.col("lead.doc_id").alias("component_id"))
+    with_words = prints.where("n > 0").join(own, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return with_words.unionByName(
+        prints.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    )
+
+
+def set_classes(
+    docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, heavy: int = 1 << 17, known: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n, digest, ...) of every row, and (digest, component, lead) of every set of shingles.
+
+    ``component`` numbers what is linked as in ``near_components``, ``lead`` is its row with the smallest id, a struct
+    unknown, doc_id, text_hash; null ids come last, then ties by the text's hash. Texts without words are one set.
+    ``known`` (text_hash, known) tells which texts hang together already, by links that hold; the others are looked for.
+    """
     if not 50 < percent <= 100:
         raise ValueError("percent lies between 50 and 100")
     ship(docs.sparkSession)
@@ -387,8 +407,13 @@ def near_components(
         )
     )
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("lead")
-    classes = prints.where("n > 0").groupBy("digest").agg(lead, *(F.first(c).alias(c) for c in ("n", "rare", "sketch")))
-    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()))
+    classes = prints.groupBy("digest").agg(lead, *(F.first(c).alias(c) for c in ("n", "rare", "sketch")))
+    classes = classes.withColumn("id", F.monotonically_increasing_id())
+    if known is None:
+        classes = materialize(classes.withColumn("known", F.col("id")))
+    else:
+        once = known.groupBy(F.col("text_hash").alias("h")).agg(F.min("known").alias("known"))
+        classes = materialize(classes.join(once, F.col("lead.text_hash") == F.col("h")).drop("h"))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         # One column, a struct, is the key of rows and of leads: nulls in it meet, and texts are shuffled once for both steps.
@@ -398,11 +423,11 @@ def near_components(
         one = rows.select(key, "text").groupBy("key").agg(F.first("text").alias("text"))
         return materialize(one.join(asked, "key").select("id", "text"))
 
-    roots = connected_components(_links(classes, texts_of, words, percent))
-    own = classes.join(roots, F.col("id") == F.col("node"), "left").select("digest", F.col("lead.doc_id").alias("lead"), F.coalesce("root", "id").alias("root"))
-    names = own.groupBy("root").agg(F.min("lead").alias("component_id"))
-    named = materialize(own.join(names, "root").select("digest", "component_id"))
-    with_words = prints.where("n > 0").join(named, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return with_words.unionByName(
-        prints.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    )
+    links = _links(classes, texts_of, words, percent)
+    if known is not None:
+        firsts = classes.groupBy("known").agg(F.min("id").alias("b"))
+        links = links.unionByName(classes.join(firsts, "known").where("id <> b").select(F.col("id").alias("a"), "b"))
+    roots = connected_components(links)
+    own = classes.join(roots, F.col("id") == F.col("node"), "left").select("digest", "lead", F.coalesce("root", "id").alias("component"))
+    firsts = own.groupBy("component").agg(F.min("lead").alias("first"))
+    return prints, materialize(own.join(firsts, "component").select("digest", "component", F.col("first").alias("lead")))

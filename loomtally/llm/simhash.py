@@ -13,7 +13,8 @@ found by alternating large-star and small-star steps.
 similarity of 0.8 the fingerprints of long shingles differ in ten of 64 bits or
 so, too many for a join. It therefore groups by the fingerprint of single words,
 where such copies differ in few bits, joins tries of the fingerprints of word
-pairs inside the groups, and confirms the links by the shingles themselves.
+pairs inside the groups, and confirms the links by the shingles themselves. What
+that misses is found by an exact join of shingle sets between its components.
 """
 
 from __future__ import annotations
@@ -387,18 +388,20 @@ def near_classes(
     few: int = 64,
     seed: int = 42,
 ) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, body) of every row, and (body, component, lead) of every class, a struct unknown, doc_id, text_hash.
-
-    Texts of the same words (ASCII letters lower-cased) are one class. Classes whose
-    fingerprints agree, of single words on two of ``key_budget + 2`` blocks and of
-    ``print_words`` words within ``print_budget`` bits, are linked where they share
-    ``least`` of their distinct shingles of ``words`` words (Jaccard). Where more than
-    ``few`` classes of one group hang together, only links that span them are looked
-    at, so that work does not grow with the square of a group. ``component``
+    """(doc_id, text_hash, digest) of every row, and (digest, component, lead) of every class, a struct unknown, doc_id, text_hash.
+
+    Texts of the same shingles of ``words`` words (ASCII letters lower-cased) are one class. Classes are
+    linked where they share ``least`` of their distinct shingles (Jaccard; over a half, in whole hundredths).
+    Most links are found at once: of classes whose fingerprints agree, of single words on two of
+    ``key_budget + 2`` blocks and of ``print_words`` words within ``print_budget`` bits; where more than
+    ``few`` classes of one group hang together, of those that span them. All links between what
+    does not hang together by then are found by the join of ``jaccard_join``, so none is lost. ``component``
     numbers what is linked, directly or through others; ``lead`` is its row with the
     smallest id, null ids last, ties by the text's hash. Texts without words (null,
     empty) are one class. Other columns are ignored; an empty table gives no rows.
     """
+    from loomtally.llm.jaccard_join import set_classes  # which takes components from here
+
     ship(docs.sparkSession)
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
@@ -420,15 +423,15 @@ def near_classes(
         .select("a", "b", "text_a", "text_b")
     )
     roots = connected_components(pairs.mapInArrow(_alike(words, least), "a long, b long"))
-    own = classes.join(roots, F.col("body") == F.col("node"), "left").select("body", "lead", F.coalesce("root", "body").alias("component"))
-    named = materialize(own.join(own.groupBy("component").agg(F.min("lead").alias("first")), "component").select("body", "component", F.col("first").alias("lead")))
-    return prints.select("doc_id", "text_hash", "body"), named
+    own = classes.join(roots, F.col("body") == F.col("node"), "left").select("body", F.coalesce("root", "body").alias("known"))
+    sets, named = set_classes(docs, id_col, text_col, words, round(100 * least), known=prints.select("text_hash", "body").join(own, "body"))
+    return sets.select("doc_id", "text_hash", "digest"), named
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: doc_id, component_id, the smallest id of its group of near copies; options as in ``near_classes``."""
     prints, classes = near_classes(docs, id_col, text_col, **options)
-    return prints.join(classes, "body").select("doc_id", F.col("lead.doc_id").alias("component_id"))
+    return prints.join(classes, "digest").select("doc_id", F.col("lead.doc_id").alias("component_id"))
 
 
 def _row_key(id_col: str, hash_col: str) -> Column:
