@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtally.llm.common import materialize, ship, text_or_empty
+from loomtally.llm.common import materialize, release, ship, small, text_or_empty
 from loomtally.llm.simhash import connected_components
 from loomtally.llm.words import mix, slices, word_hashes
 
@@ -240,10 +240,10 @@ def _cells(words: int, percent: int):
     return run
 
 
-def _pairs_measured(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, least: int) -> DataFrame:
-    """``pairs`` (a, b) of sets that are alike enough, with the sizes of intersection and union.
+def _pairs_measured(pairs: DataFrame, classes: DataFrame, texts_of, words: int, least: int) -> DataFrame:
+    """A table of the ``pairs`` (a, b) of sets that are alike enough, with the sizes of intersection and union.
 
-    Sizes, then sketches, drop pairs that can't be; texts are read for the others.
+    Sizes, then sketches, drop pairs that can't be; only the texts of the others are looked up.
     """
 
     def of(side: str, held: DataFrame, *columns: str) -> DataFrame:
@@ -251,10 +251,16 @@ def _pairs_measured(pairs: DataFrame, classes: DataFrame, texts: DataFrame, word
 
     sized = pairs.join(of("a", classes, "n"), "a").join(of("b", classes, "n"), "b")
     sized = materialize(sized.where(F.expr(f"100 * least(n_a, n_b) >= {least} * greatest(n_a, n_b)")))
-    drawn = sized.join(of("a", classes, "sketch"), "a").join(of("b", classes, "sketch"), "b")
-    left = materialize(drawn.mapInArrow(_possible(least), "a long, b long"))
+    ids = lambda of_pairs: of_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    drawn = classes.join(small(ids(sized), sized), "id").select("id", "sketch")
+    rows = sized.join(of("a", drawn, "sketch"), "a").join(of("b", drawn, "sketch"), "b")
+    left = materialize(rows.mapInArrow(_possible(least), "a long, b long"))
+    texts = texts_of(ids(left), left)
     rows = left.join(of("a", texts, "text"), "a").join(of("b", texts, "text"), "b")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(_measured(words, least), "a long, b long, n_both long, n_all long")
+    found = rows.select("a", "b", "text_a", "text_b").mapInArrow(_measured(words, least), "a long, b long, n_both long, n_all long")
+    found = materialize(found)
+    release(sized, left, texts)
+    return found
 
 
 def _fits(x, p, percent: int):
@@ -267,12 +273,18 @@ def _fits(x, p, percent: int):
     return 100 * most >= percent * (x["n"] + p["n"] - most)
 
 
-def _able(region: DataFrame, percent: int) -> DataFrame:
-    """The sets of each region that can have a link there at all, by the best place any set of the region has."""
-    best = region.groupBy("token").agg(F.count("*").alias("many"), F.min(F.col("pos") / F.col("n")).alias("best"))
+def _able(region: DataFrame, percent: int, several: str = "id") -> DataFrame:
+    """The sets of each region that can have a link there at all, by the best place any set of the region has.
+
+    A region counts if its sets differ in ``several``. Sets are shuffled once, by the region.
+    """
+    whole = Window.partitionBy("token")
+    best = region.withColumns(
+        {"low": F.min(several).over(whole), "high": F.max(several).over(whole), "best": F.min(F.col("pos") / F.col("n")).over(whole)}
+    )
     # A link to a set with the share f before the token needs 1 / (1 - own share) + 1 / (1 - f) to be at most 1 + 100 / percent.
-    known = region.join(best.where("many > 1"), "token")
-    return known.where(F.expr(f"n / (n - pos) + 1 / (1 - best) <= 1 + 100 / {percent} + 1e-9")).drop("many", "best")
+    able = best.where("low < high").where(F.expr(f"n / (n - pos) + 1 / (1 - best) <= 1 + 100 / {percent} + 1e-9"))
+    return able.drop("low", "high", "best")
 
 
 def _near_sizes(x, p, percent: int):
@@ -280,7 +292,7 @@ def _near_sizes(x, p, percent: int):
 
 
 def _links(classes: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the components of the sets ``classes`` (id, known, n, rare, sketch); ``texts_of`` gives a text (id, text) of each id.
+    """Links (a, b) that join the components of the sets ``classes`` (id, known, n, rare, sketch); ``texts_of`` writes a text (id, text) of each id of a column made from a written table.
 
     Sets with the same number ``known`` hang together already, so a shingle that only such sets have makes no region.
     """
@@ -288,9 +300,7 @@ def _links(classes: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
     x = {"n": F.col("n"), "pos": F.col("pos")}
     pair = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
     tokens = classes.select("id", "known", F.col("n").cast("int").alias("n"), F.posexplode("rare").alias("pos", "token"))
-    ends = tokens.groupBy("token").agg(F.min("known").alias("low"), F.max("known").alias("high")).where("low < high")
-    region = materialize(_able(tokens.drop("known").join(ends.select("token"), "token"), percent))
-    texts = texts_of(region.select("id").distinct())
+    region = materialize(_able(tokens, percent, "known").drop("known"))
     links, boundary, round_ = [], [], 0
 
     def asked(held: DataFrame, test) -> DataFrame:
@@ -306,8 +316,9 @@ def _links(classes: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
         chosen += [F.min_by(own, F.xxhash64("id", F.lit(round_), F.lit(i))) for i in range(min(PIVOTS, (2 << round_) - 2))]
         some = region.groupBy("token").agg(F.count("*").alias("many"), F.array_distinct(F.array(*chosen)).alias("pivots"))
         held = materialize(region.join(some.where("many > 1").drop("many"), "token"))
+        release(region)
         tried = asked(held, lambda p: _fits(x, p, percent) & _near_sizes(x, p, percent))
-        linked = materialize(_pairs_measured(tried, classes, texts, words, percent).select("a", "b", "n_both", "n_all"))
+        linked = _pairs_measured(tried, classes, texts_of, words, percent)
         links.append(linked)
         # Only pivots with a link have a cell, and so a boundary.
         ends_of = linked.select(F.explode(F.array("a", "b")).alias("pivot")).distinct()
@@ -316,11 +327,12 @@ def _links(classes: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
         celled = flat.join(ends_of, "pivot", "left_semi").where(f"100 * least(n, m) >= {near_percent} * greatest(n, m)")
         near = celled.select("token", "id", *pair)
         wide = near.select("a", "b").distinct().join(linked, ["a", "b"], "left_anti")
-        boundary.append(materialize(_pairs_measured(wide, classes, texts, words, near_percent)))
+        boundary.append(_pairs_measured(wide, classes, texts_of, words, near_percent))
         # A set leaves a region as one of its pivots or into the cell of one.
         gone = near.join(linked.select("a", "b"), ["a", "b"], "left_semi").select("token", "id").distinct()
         rest = held.where(~F.exists("pivots", lambda p: p["id"] == F.col("id"))).drop("pivots")
         region = materialize(_able(rest.join(gone, ["token", "id"], "left_anti"), percent))
+        release(held)
         round_ += 1
     if not links:
         return classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
@@ -328,10 +340,10 @@ def _links(classes: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
     edge = boundary[0]
     for more, wider in zip(links[1:], boundary[1:], strict=True):
         found, edge = found.unionByName(more), edge.unionByName(wider)
-    return found.select("a", "b").unionByName(_across(found, edge, texts, words, percent)).distinct()
+    return found.select("a", "b").unionByName(_across(found, edge, texts_of, words, percent)).distinct()
 
 
-def _across(found: DataFrame, boundary: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _across(found: DataFrame, boundary: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
     """Links between cells and those of their boundary copies that are in other components yet."""
     alike = (F.col("n_both") / F.col("n_all")).alias("alike")
     both = lambda d: d.select(F.col("a").alias("cell"), F.col("b").alias("id"), alike).unionByName(
@@ -348,10 +360,14 @@ def _across(found: DataFrame, boundary: DataFrame, texts: DataFrame, words: int,
     members = both(found).distinct().join(slots, "cell").select(
         "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - F.lit(1).cast("long"))).alias("slot"), F.lit(1).alias("kind"), "id", "alike"
     )
-    rows = put.unionByName(members).join(texts, "id").select("cell", "slot", "kind", "id", "alike", "text")
+    rows = put.unionByName(members)
+    texts = texts_of(rows.select("id").distinct(), found.select("a").union(copies.select("id")))
+    rows = rows.join(texts, "id").select("cell", "slot", "kind", "id", "alike", "text")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "cell", "slot").sortWithinPartitions("cell", "slot", "kind")
-    return materialize(dealt.mapInArrow(_cells(words, percent), "a long, b long"))
+    links = materialize(dealt.mapInArrow(_cells(words, percent), "a long, b long"))
+    release(copies, texts)
+    return links
 
 
 def near_components(
@@ -415,13 +431,18 @@ def set_classes(
         once = known.groupBy(F.col("text_hash").alias("h")).agg(F.min("known").alias("known"))
         classes = materialize(classes.join(once, F.col("lead.text_hash") == F.col("h")).drop("h"))
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        # One column, a struct, is the key of rows and of leads: nulls in it meet, and texts are shuffled once for both steps.
+    # What the rows keep is small; the shingles and sketches of copies go.
+    wide, prints = prints, materialize(prints.select("doc_id", "text_hash", "n", "digest"))
+    release(wide)
+
+    def texts_of(ids: DataFrame, made_from: DataFrame) -> DataFrame:
+        # One column, a struct, is the key of rows and of leads: nulls in it meet, and texts are shuffled once at most.
         key = F.struct("doc_id", "text_hash").alias("key")
-        asked = ids.join(classes.select("id", "lead"), "id").select("id", F.struct("lead.doc_id", "lead.text_hash").alias("key"))
+        hash_ = F.coalesce("lead.text_hash", F.lit(0)).alias("text_hash")  # never null, so both keys are of one type
+        asked = ids.join(classes.select("id", "lead"), "id").select("id", F.struct("lead.doc_id", hash_).alias("key"))
         # Of rows that repeat id and text one is read; null ids meet by the text alone.
-        one = rows.select(key, "text").groupBy("key").agg(F.first("text").alias("text"))
-        return materialize(one.join(asked, "key").select("id", "text"))
+        held = rows.select(key, "text").join(small(asked, made_from), "key")
+        return materialize(held.groupBy("key", "id").agg(F.first("text").alias("text")).select("id", "text"))
 
     links = _links(classes, texts_of, words, percent)
     if known is not None:
@@ -430,4 +451,6 @@ def set_classes(
     roots = connected_components(links)
     own = classes.join(roots, F.col("id") == F.col("node"), "left").select("digest", "lead", F.coalesce("root", "id").alias("component"))
     firsts = own.groupBy("component").agg(F.min("lead").alias("first"))
-    return prints, materialize(own.join(firsts, "component").select("digest", "component", F.col("first").alias("lead")))
+    named = materialize(own.join(firsts, "component").select("digest", "component", F.col("first").alias("lead")))
+    release(classes)
+    return prints, named

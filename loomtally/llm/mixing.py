@@ -157,22 +157,17 @@ def placed(
     """``docs``, all rows, with two columns more: the slot and the place within it that the mixture gives a row."""
     p = without(docs)
     found = mix_order(docs, weights, id_col, source_col, text_col, **options)
-    at = found.select(
-        F.col("doc_id").alias(f"{p}_i"), F.col("source").alias(f"{p}_s"), F.col("text_hash").alias(f"{p}_t"),
-        F.col("again").alias(f"{p}_g"), F.col("slot").alias(f"{p}_slot"), F.col("place").alias(f"{p}_place"),
-    )
-    marked = docs.withColumn(f"{p}_h", F.xxhash64(text_or_empty(text_col)))
-    repeats = Window.partitionBy(id_col, source_col, f"{p}_h").orderBy(id_col)
-    marked = marked.withColumn(f"{p}_a", F.row_number().over(repeats))
-    same = (
-        F.col(id_col).eqNullSafe(F.col(f"{p}_i"))
-        & F.col(source_col).eqNullSafe(F.col(f"{p}_s"))
-        & (F.col(f"{p}_h") == F.col(f"{p}_t"))
-        & (F.col(f"{p}_a") == F.col(f"{p}_g"))
-    )
-    return marked.join(at, same).select(
-        *docs.columns, F.col(f"{p}_slot").alias(slot), F.col(f"{p}_place").alias(place)
+    # One column, a struct, is the key of window, groups and join: nulls in it meet, and texts are shuffled once.
+    # Read hashes may be null by their schema, others not; as different types they would be shuffled again.
+    key = lambda i, s, t: F.struct(i.alias("i"), s.alias("s"), F.coalesce(t, F.lit(0)).alias("t")).alias(f"{p}_k")
+    at = found.groupBy(key(F.col("doc_id"), F.col("source"), F.col("text_hash"))).agg(
+        F.sort_array(F.collect_list(F.struct("again", "slot", "place"))).alias(f"{p}_at")
     )
+    marked = docs.select("*", key(F.col(id_col), F.col(source_col), F.xxhash64(text_or_empty(text_col))))
+    repeats = Window.partitionBy(f"{p}_k").orderBy(f"{p}_k")
+    marked = marked.withColumn(f"{p}_a", F.row_number().over(repeats))
+    own = F.element_at(f"{p}_at", F.col(f"{p}_a"))
+    return marked.join(at, f"{p}_k").select(*docs.columns, own["slot"].alias(slot), own["place"].alias(place))
 
 
 def interleave(

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtally.llm.common import materialize, ship, text_or_empty, without
+from loomtally.llm.common import materialize, release, ship, small, text_or_empty, without
 
 BITS = 64
 
@@ -415,7 +415,7 @@ def near_classes(
     links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     asked = links.select(F.col("a").alias("body")).union(links.select("b")).distinct()
     leads = asked.join(classes, "body").select("body", _row_key("lead.doc_id", "lead.text_hash").alias("k"), F.col("lead.text_hash").alias("h"))
-    texts = rows.select(_row_key("doc_id", "text_hash").alias("k"), F.col("text_hash").alias("h"), "text").join(leads, ["k", "h"])
+    texts = rows.select(_row_key("doc_id", "text_hash").alias("k"), F.col("text_hash").alias("h"), "text").join(small(leads, links), ["k", "h"])
     texts = materialize(texts.groupBy("body").agg(F.first("text").alias("text")))
     pairs = (
         links.join(texts.select(F.col("body").alias("a"), F.col("text").alias("text_a")), "a")
@@ -423,8 +423,10 @@ def near_classes(
         .select("a", "b", "text_a", "text_b")
     )
     roots = connected_components(pairs.mapInArrow(_alike(words, least), "a long, b long"))
+    release(links, texts)
     own = classes.join(roots, F.col("body") == F.col("node"), "left").select("body", F.coalesce("root", "body").alias("known"))
     sets, named = set_classes(docs, id_col, text_col, words, round(100 * least), known=prints.select("text_hash", "body").join(own, "body"))
+    release(prints, classes)
     return sets.select("doc_id", "text_hash", "digest"), named
 
 
