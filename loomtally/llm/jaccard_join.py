@@ -256,7 +256,8 @@ def _pairs_measured(pairs: DataFrame, classes: DataFrame, texts_of, words: int,
     rows = sized.join(of("a", drawn, "sketch"), "a").join(of("b", drawn, "sketch"), "b")
     left = materialize(rows.mapInArrow(_possible(least), "a long, b long"))
     texts = texts_of(ids(left), left)
-    rows = left.join(of("a", texts, "text"), "a").join(of("b", texts, "text"), "b")
+    # Texts are never sent to all tasks; those of one ``b`` come sorted together.
+    rows = left.join(of("a", texts, "text").hint("merge"), "a").join(of("b", texts, "text").hint("merge"), "b")
     found = rows.select("a", "b", "text_a", "text_b").mapInArrow(_measured(words, least), "a long, b long, n_both long, n_all long")
     found = materialize(found)
     release(sized, left, texts)
@@ -436,12 +437,12 @@ def set_classes(
     release(wide)
 
     def texts_of(ids: DataFrame, made_from: DataFrame) -> DataFrame:
-        # One column, a struct, is the key of rows and of leads: nulls in it meet, and texts are shuffled once at most.
-        key = F.struct("doc_id", "text_hash").alias("key")
-        hash_ = F.coalesce("lead.text_hash", F.lit(0)).alias("text_hash")  # never null, so both keys are of one type
-        asked = ids.join(classes.select("id", "lead"), "id").select("id", F.struct("lead.doc_id", hash_).alias("key"))
+        # One number is the key of rows and of leads, which keeps a table of few of them small; the text's hash is compared as well.
+        key = lambda doc, text_hash: F.xxhash64(doc, text_hash).alias("key")
+        asked = ids.join(classes.select("id", "lead"), "id").select("id", key("lead.doc_id", "lead.text_hash"), F.col("lead.text_hash").alias("h"))
         # Of rows that repeat id and text one is read; null ids meet by the text alone.
-        held = rows.select(key, "text").join(small(asked, made_from), "key")
+        held = rows.select(key("doc_id", "text_hash"), "text_hash", "text").join(small(asked, made_from), "key")
+        held = held.where(F.col("text_hash").between(F.col("h"), F.col("h")))
         return materialize(held.groupBy("key", "id").agg(F.first("text").alias("text")).select("id", "text"))
 
     links = _links(classes, texts_of, words, percent)
