@@ -240,8 +240,8 @@ def _cells(words: int, percent: int):
     return run
 
 
-def _pairs_measured(pairs: DataFrame, classes: DataFrame, texts_of, words: int, least: int) -> DataFrame:
-    """A table of the ``pairs`` (a, b) of sets that are alike enough, with the sizes of intersection and union.
+def _pairs_measured(pairs: DataFrame, most: int, classes: DataFrame, texts_of, words: int, least: int) -> DataFrame:
+    """A table of the ``pairs`` (a, b), at most ``most``, of sets that are alike enough, with the sizes of intersection and union.
 
     Sizes, then sketches, drop pairs that can't be; only the texts of the others are looked up.
     """
@@ -250,16 +250,16 @@ def _pairs_measured(pairs: DataFrame, classes: DataFrame, texts_of, words: int,
         return held.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
 
     sized = pairs.join(of("a", classes, "n"), "a").join(of("b", classes, "n"), "b")
-    sized = materialize(sized.where(F.expr(f"100 * least(n_a, n_b) >= {least} * greatest(n_a, n_b)")))
+    sized = materialize(sized.where(F.expr(f"100 * least(n_a, n_b) >= {least} * greatest(n_a, n_b)")), most)
     ids = lambda of_pairs: of_pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     drawn = classes.join(small(ids(sized), sized), "id").select("id", "sketch")
     rows = sized.join(of("a", drawn, "sketch"), "a").join(of("b", drawn, "sketch"), "b")
-    left = materialize(rows.mapInArrow(_possible(least), "a long, b long"))
+    left = materialize(rows.mapInArrow(_possible(least), "a long, b long"), sized.count())
     texts = texts_of(ids(left), left)
     # Texts are never sent to all tasks; those of one ``b`` come sorted together.
     rows = left.join(of("a", texts, "text").hint("merge"), "a").join(of("b", texts, "text").hint("merge"), "b")
     found = rows.select("a", "b", "text_a", "text_b").mapInArrow(_measured(words, least), "a long, b long, n_both long, n_all long")
-    found = materialize(found)
+    found = materialize(found, left.count())
     release(sized, left, texts)
     return found
 
@@ -292,8 +292,8 @@ def _near_sizes(x, p, percent: int):
     return 100 * F.least(x["n"], p["n"]) >= percent * F.greatest(x["n"], p["n"])
 
 
-def _links(classes: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
-    """Links (a, b) that join the components of the sets ``classes`` (id, known, n, rare, sketch); ``texts_of`` writes a text (id, text) of each id of a column made from a written table.
+def _links(classes: DataFrame, texts_of, words: int, percent: int) -> tuple[DataFrame, int]:
+    """Links (a, b), and how many at most, that join the components of the sets ``classes`` (id, known, n, rare, sketch); ``texts_of`` writes a text (id, text) of each id of a column made from a written table.
 
     Sets with the same number ``known`` hang together already, so a shingle that only such sets have makes no region.
     """
@@ -310,16 +310,17 @@ def _links(classes: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
         each = held.select("id", F.explode(fit).alias("p")).select("id", F.col("p.id").alias("pivot"))
         return each.select(*pair).distinct()
 
-    while region.limit(1).count():
+    while rows := region.count():
         # The first pivot has the least that is rarer than the token, so it lies amid its near copies.
         own = F.struct("id", "n", "pos")
         chosen = [F.min_by(own, F.struct("pos", "id"))]
         chosen += [F.min_by(own, F.xxhash64("id", F.lit(round_), F.lit(i))) for i in range(min(PIVOTS, (2 << round_) - 2))]
+        pairs = rows * len(chosen)
         some = region.groupBy("token").agg(F.count("*").alias("many"), F.array_distinct(F.array(*chosen)).alias("pivots"))
-        held = materialize(region.join(some.where("many > 1").drop("many"), "token"))
+        held = materialize(region.join(some.where("many > 1").drop("many"), "token"), rows)
         release(region)
         tried = asked(held, lambda p: _fits(x, p, percent) & _near_sizes(x, p, percent))
-        linked = _pairs_measured(tried, classes, texts_of, words, percent)
+        linked = _pairs_measured(tried, pairs, classes, texts_of, words, percent)
         links.append(linked)
         # Only pivots with a link have a cell, and so a boundary.
         ends_of = linked.select(F.explode(F.array("a", "b")).alias("pivot")).distinct()
@@ -328,20 +329,21 @@ def _links(classes: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
         celled = flat.join(ends_of, "pivot", "left_semi").where(f"100 * least(n, m) >= {near_percent} * greatest(n, m)")
         near = celled.select("token", "id", *pair)
         wide = near.select("a", "b").distinct().join(linked, ["a", "b"], "left_anti")
-        boundary.append(_pairs_measured(wide, classes, texts_of, words, near_percent))
+        boundary.append(_pairs_measured(wide, pairs, classes, texts_of, words, near_percent))
         # A set leaves a region as one of its pivots or into the cell of one.
         gone = near.join(linked.select("a", "b"), ["a", "b"], "left_semi").select("token", "id").distinct()
         rest = held.where(~F.exists("pivots", lambda p: p["id"] == F.col("id"))).drop("pivots")
-        region = materialize(_able(rest.join(gone, ["token", "id"], "left_anti"), percent))
+        region = materialize(_able(rest.join(gone, ["token", "id"], "left_anti"), percent), rows)
         release(held)
         round_ += 1
     if not links:
-        return classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        return classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), 0
     found = links[0]
     edge = boundary[0]
     for more, wider in zip(links[1:], boundary[1:], strict=True):
         found, edge = found.unionByName(more), edge.unionByName(wider)
-    return found.select("a", "b").unionByName(_across(found, edge, texts_of, words, percent)).distinct()
+    more = _across(found, edge, texts_of, words, percent)
+    return found.select("a", "b").unionByName(more).distinct(), found.count() + more.count()
 
 
 def _across(found: DataFrame, boundary: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
@@ -350,12 +352,13 @@ def _across(found: DataFrame, boundary: DataFrame, texts_of, words: int, percent
     both = lambda d: d.select(F.col("a").alias("cell"), F.col("b").alias("id"), alike).unionByName(
         d.select(F.col("b").alias("cell"), F.col("a").alias("id"), alike)
     )
-    roots = connected_components(found.select("a", "b"))
+    roots = connected_components(found.select("a", "b"), found.count())
     root = lambda d, on: d.join(roots.select(F.col("node").alias(on), F.col("root").alias(f"{on}_root")), on, "left").withColumn(
         f"{on}_root", F.coalesce(f"{on}_root", on)
     )
     copies = root(root(both(boundary), "id"), "cell").where("id_root <> cell_root").select("cell", "id", "alike")
-    copies = materialize(copies.distinct())
+    most = 2 * boundary.count()
+    copies = materialize(copies.distinct(), most)
     slots = copies.groupBy("cell").agg(F.ceil(F.count("*") / 512).cast("int").alias("slots"))
     put = copies.join(slots, "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("slots")).alias("slot"), F.lit(0).alias("kind"), "id", "alike")
     members = both(found).distinct().join(slots, "cell").select(
@@ -366,7 +369,7 @@ def _across(found: DataFrame, boundary: DataFrame, texts_of, words: int, percent
     rows = rows.join(texts, "id").select("cell", "slot", "kind", "id", "alike", "text")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "cell", "slot").sortWithinPartitions("cell", "slot", "kind")
-    links = materialize(dealt.mapInArrow(_cells(words, percent), "a long, b long"))
+    links = materialize(dealt.mapInArrow(_cells(words, percent), "a long, b long"), most)
     release(copies, texts)
     return links
 
@@ -423,14 +426,15 @@ def set_classes(
             _prints(words, percent, often, rank), f"doc_id {kind}, text_hash long, n long, digest binary, rare array<long>, sketch binary"
         )
     )
+    most = prints.count()
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("lead")
     classes = prints.groupBy("digest").agg(lead, *(F.first(c).alias(c) for c in ("n", "rare", "sketch")))
     classes = classes.withColumn("id", F.monotonically_increasing_id())
     if known is None:
-        classes = materialize(classes.withColumn("known", F.col("id")))
+        classes = materialize(classes.withColumn("known", F.col("id")), most, 1 << 11)
     else:
         once = known.groupBy(F.col("text_hash").alias("h")).agg(F.min("known").alias("known"))
-        classes = materialize(classes.join(once, F.col("lead.text_hash") == F.col("h")).drop("h"))
+        classes = materialize(classes.join(once, F.col("lead.text_hash") == F.col("h")).drop("h"), most, 1 << 11)
 
     # What the rows keep is small; the shingles and sketches of copies go.
     wide, prints = prints, materialize(prints.select("doc_id", "text_hash", "n", "digest"))
@@ -443,15 +447,17 @@ def set_classes(
         # Of rows that repeat id and text one is read; null ids meet by the text alone.
         held = rows.select(key("doc_id", "text_hash"), "text_hash", "text").join(small(asked, made_from), "key")
         held = held.where(F.col("text_hash").between(F.col("h"), F.col("h")))
-        return materialize(held.groupBy("key", "id").agg(F.first("text").alias("text")).select("id", "text"))
+        texts = held.groupBy("key", "id").agg(F.first("text").alias("text")).select("id", "text")
+        few = made_from.limit((1 << 15) + 1).count()  # as in small(): more texts are not shuffled once more
+        return materialize(texts, 2 * few if few <= 1 << 15 else None, 1 << 12)
 
-    links = _links(classes, texts_of, words, percent)
+    links, n_links = _links(classes, texts_of, words, percent)
     if known is not None:
         firsts = classes.groupBy("known").agg(F.min("id").alias("b"))
         links = links.unionByName(classes.join(firsts, "known").where("id <> b").select(F.col("id").alias("a"), "b"))
-    roots = connected_components(links)
+    roots = connected_components(links, n_links + most)
     own = classes.join(roots, F.col("id") == F.col("node"), "left").select("digest", "lead", F.coalesce("root", "id").alias("component"))
     firsts = own.groupBy("component").agg(F.min("lead").alias("first"))
-    named = materialize(own.join(firsts, "component").select("digest", "component", F.col("first").alias("lead")))
+    named = materialize(own.join(firsts, "component").select("digest", "component", F.col("first").alias("lead")), most)
     release(classes)
     return prints, named

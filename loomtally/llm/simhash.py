@@ -253,14 +253,14 @@ def _group_links(budget: int, few: int = 0):
     return run
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node that is not its component's smallest; edges: a, b.
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, root) for every node that is not its component's smallest; edges: a, b, ``rows`` of them at most.
 
     Rounds of large-star and small-star steps go on until nothing changes, which
-    takes a number of them that grows as the logarithm of the nodes.
+    takes a number of them that grows as the logarithm of the nodes. No step makes more edges than there were.
     """
-    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
+    e = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), rows)
+    state, rows = None, e.count()
     while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -268,7 +268,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         small_m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialize(small.unionByName(small_m.select("u", F.col("m").alias("v"))).distinct())
+        e = materialize(small.unionByName(small_m.select("u", F.col("m").alias("v"))).distinct(), rows)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -410,19 +410,20 @@ def near_classes(
         rows.mapInArrow(_two_prints(key_words, print_words, seed), f"doc_id {kind}, text_hash long, body long, key_fp long, fp long")
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("lead")
-    classes = materialize(prints.groupBy("body").agg(first, F.min("key_fp").alias("key_fp"), F.min("fp").alias("fp")))
+    classes = materialize(prints.groupBy("body").agg(first, F.min("key_fp").alias("key_fp"), F.min("fp").alias("fp")), prints.count())
     links = _linked(classes, "key_fp", key_budget, "body", "fp", print_budget, few)
     links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     asked = links.select(F.col("a").alias("body")).union(links.select("b")).distinct()
     leads = asked.join(classes, "body").select("body", _row_key("lead.doc_id", "lead.text_hash").alias("k"), F.col("lead.text_hash").alias("h"))
     texts = rows.select(_row_key("doc_id", "text_hash").alias("k"), F.col("text_hash").alias("h"), "text").join(small(leads, links), ["k", "h"])
-    texts = materialize(texts.groupBy("body").agg(F.first("text").alias("text")))
+    n_links = links.count()
+    texts = materialize(texts.groupBy("body").agg(F.first("text").alias("text")), 2 * n_links if n_links <= 1 << 15 else None, 1 << 12)
     pairs = (
         links.join(texts.select(F.col("body").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("body").alias("b"), F.col("text").alias("text_b")), "b")
         .select("a", "b", "text_a", "text_b")
     )
-    roots = connected_components(pairs.mapInArrow(_alike(words, least), "a long, b long"))
+    roots = connected_components(pairs.mapInArrow(_alike(words, least), "a long, b long"), n_links)
     release(links, texts)
     own = classes.join(roots, F.col("body") == F.col("node"), "left").select("body", F.coalesce("root", "body").alias("known"))
     sets, named = set_classes(docs, id_col, text_col, words, round(100 * least), known=prints.select("text_hash", "body").join(own, "body"))
