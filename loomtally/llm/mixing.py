@@ -19,7 +19,7 @@ from math import isqrt, lcm
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtally.llm.common import materialize, numbered, text_or_empty, without
+from loomtally.llm.common import materialize, numbered, of_driver, text_or_empty, without
 
 SLOTS_PER_CYCLE = 1024
 
@@ -76,7 +76,7 @@ def block_slots(spark: SparkSession, cycles: Iterator[tuple]) -> DataFrame:
     names = ("s", "block", "release", "deadline")
     rows = list(cycles)
     schema = "first long, " + ", ".join(f"{n} array<long>" for n in names)
-    made = spark.createDataFrame(rows, schema).repartition(max(1, min(64, len(rows))), "first")
+    made = of_driver(spark, rows, schema).repartition(max(1, min(64, len(rows))), "first")
     return made.select("first", F.posexplode(F.arrays_zip(*names)).alias("t", "b")).select(
         F.col("b.s").cast("int").alias("s"),
         "b.block",
