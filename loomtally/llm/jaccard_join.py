@@ -5,14 +5,15 @@ y have distances to any pivot that differ by r at most. Nearly all texts are at
 distance one from any pivot, where no window tells them apart, so regions begin from
 rare shingles: sets within r share one of their ``n - ceil((1 - r) n) + 1`` rarest, and
 each of those makes a region of the sets that have it (any one order of shingles is
-right; the commonest come last). Then, region by region and all regions at once:
+right; the commonest come last). Sets are held against each other where sizes and the
+place of the region's shingle allow a link; of a linked pair the region of the first
+shingle in order that both have always does. Nearly all regions are of a few sets, which
+are all held against each other at once. Then, in all larger regions at the same time:
 
-* some sets of the region become its pivots, and every other set is held against them
-  (where sizes and the place of the region's shingle allow a link; of a linked pair the
-  region of the first shingle in order that both have always does),
+* some sets of the region become its pivots, and every other set is held against them,
 * sets within r of a pivot are linked to it and leave the region for the pivot's cell,
 * sets beyond r but within 2r of a pivot that has a cell lie on its boundary: they stay, and a copy goes to the cell,
-* what stays is divided again by new pivots, more of them each time, until nothing is left.
+* what stays is divided again by new pivots, twice as many each time, until few sets or none are left.
 
 Two linked sets stay in a region together until one of them becomes a pivot, which
 finds the other, or joins a cell, whose boundary then holds the other. So boundary
@@ -34,8 +35,10 @@ from loomtally.llm.simhash import connected_components
 from loomtally.llm.words import mix, slices, word_hashes
 
 SLICE = 1 << 22
+#: Sets of a region that are held against each other without pivots.
+FEW = 32
 #: Most pivots of a region in one round.
-PIVOTS = 32
+PIVOTS = 1 << 12
 
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -274,85 +277,110 @@ def _fits(x, p, percent: int):
     return 100 * most >= percent * (x["n"] + p["n"] - most)
 
 
-def _able(region: DataFrame, percent: int, several: str = "id") -> DataFrame:
-    """The sets of each region that can have a link there at all, by the best place any set of the region has.
+def _able(region: DataFrame, percent: int) -> DataFrame:
+    """The sets of each region that can have a link there at all, by the best place any set of the region has, and how ``many`` these are.
 
-    A region counts if its sets differ in ``several``. Sets are shuffled once, by the region.
+    Sets are shuffled once, by the region; one that is left alone goes.
     """
     whole = Window.partitionBy("token")
-    best = region.withColumns(
-        {"low": F.min(several).over(whole), "high": F.max(several).over(whole), "best": F.min(F.col("pos") / F.col("n")).over(whole)}
-    )
+    best = region.withColumn("best", F.min(F.col("pos") / F.col("n")).over(whole))
     # A link to a set with the share f before the token needs 1 / (1 - own share) + 1 / (1 - f) to be at most 1 + 100 / percent.
-    able = best.where("low < high").where(F.expr(f"n / (n - pos) + 1 / (1 - best) <= 1 + 100 / {percent} + 1e-9"))
-    return able.drop("low", "high", "best")
+    able = best.where(F.expr(f"n / (n - pos) + 1 / (1 - best) <= 1 + 100 / {percent} + 1e-9")).drop("best")
+    return able.withColumn("many", F.count("*").over(whole)).where("many > 1")
 
 
 def _near_sizes(x, p, percent: int):
     return 100 * F.least(x["n"], p["n"]) >= percent * F.greatest(x["n"], p["n"])
 
 
+def _pairs_of_few(region: DataFrame, percent: int) -> tuple[DataFrame, int]:
+    """All pairs (a, b) of sets of one region that can be linked, of regions of ``FEW`` sets at most, and a bound of their number."""
+    few = region.where(f"many <= {FEW}")
+    most = (few.agg(F.sum(F.col("many") - 1)).first()[0] or 0) // 2
+    sets = few.groupBy("token").agg(F.collect_list(F.struct("id", "n", "pos")).alias("sets"))
+    each, x = sets.select("sets", F.explode("sets").alias("x")), F.col("x")
+    fit = F.filter("sets", lambda p: (p["id"] > x["id"]) & _fits(x, p, percent) & _near_sizes(x, p, percent))
+    return each.select(F.col("x.id").alias("a"), F.explode(fit).alias("p")).select("a", F.col("p.id").alias("b")).distinct(), most
+
+
+def _pivots(region: DataFrame, round_: int) -> DataFrame:
+    """(token, pivots) of the regions of more than ``FEW`` sets: structs id, n, pos of some of its sets."""
+    # The first pivot has the least that is rarer than the token, so it lies amid its near copies.
+    first = F.row_number().over(Window.partitionBy("token").orderBy("pos", "id"))
+    other = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("id", F.lit(round_)), "id"))
+    ranked = region.where(f"many > {FEW}").withColumn("first", first).withColumn("other", other)
+    some = ranked.where(f"first = 1 or other <= {min(PIVOTS, 2 << round_) - 2}")
+    return some.groupBy("token").agg(F.collect_list(F.struct("id", "n", "pos")).alias("pivots"))
+
+
 def _links(classes: DataFrame, texts_of, words: int, percent: int) -> tuple[DataFrame, int]:
-    """Links (a, b), and how many at most, that join the components of the sets ``classes`` (id, known, n, rare, sketch); ``texts_of`` writes a text (id, text) of each id of a column made from a written table.
+    """Links (a, b), and how many at most, that join the components of the sets ``classes`` (id, n, rare, sketch); ``texts_of`` writes a text (id, text) of each id of a column made from a written table."""
+    tokens = classes.select("id", F.col("n").cast("int").alias("n"), F.posexplode("rare").alias("pos", "token"))
+    region = materialize(_able(tokens, percent))
+    found = _pairs_measured(*_pairs_of_few(region, percent), classes, texts_of, words, percent)
+    regions, region = region, region.where(f"many > {FEW}")
+    if rows := region.count():
+        region = materialize(region, rows)
+        release(regions)
+        # Their sets are a small part of all, so what follows reads no others.
+        ids = materialize(region.select("id").distinct(), rows)
+        own = materialize(classes.join(small(ids, ids), "id").select("id", "n", "sketch"), rows, 1 << 11)
+        texts = texts_of(ids, ids)
+        linked, boundary = _links_by_pivots(
+            region, own, lambda ids, made_from: materialize(texts.join(small(ids, made_from), "id"), rows, 1 << 12), words, percent
+        )
+        more = _across(found, linked, boundary, texts, words, percent)
+        release(own, texts)
+        found = found.select("a", "b").unionByName(linked.select("a", "b")).unionByName(more).distinct()
+    else:
+        release(regions)
+    return found.select("a", "b"), found.count()
 
-    Sets with the same number ``known`` hang together already, so a shingle that only such sets have makes no region.
-    """
+
+def _links_by_pivots(region: DataFrame, classes: DataFrame, texts_of, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of sets of the regions, and those within two radii between pivots with cells and what does not leave for these."""
     near_percent = max(0, 2 * percent - 100)  # two radii
     x = {"n": F.col("n"), "pos": F.col("pos")}
     pair = [F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")]
-    tokens = classes.select("id", "known", F.col("n").cast("int").alias("n"), F.posexplode("rare").alias("pos", "token"))
-    region = materialize(_able(tokens, percent, "known").drop("known"))
     links, boundary, round_ = [], [], 0
-
-    def asked(held: DataFrame, test) -> DataFrame:
-        """Pairs of a set and a pivot of its region that pass ``test``; those that don't are never made."""
-        fit = F.filter("pivots", lambda p: (p["id"] != F.col("id")) & test(p))
-        each = held.select("id", F.explode(fit).alias("p")).select("id", F.col("p.id").alias("pivot"))
-        return each.select(*pair).distinct()
-
     while rows := region.count():
-        # The first pivot has the least that is rarer than the token, so it lies amid its near copies.
-        own = F.struct("id", "n", "pos")
-        chosen = [F.min_by(own, F.struct("pos", "id"))]
-        chosen += [F.min_by(own, F.xxhash64("id", F.lit(round_), F.lit(i))) for i in range(min(PIVOTS, (2 << round_) - 2))]
-        pairs = rows * len(chosen)
-        some = region.groupBy("token").agg(F.count("*").alias("many"), F.array_distinct(F.array(*chosen)).alias("pivots"))
-        held = materialize(region.join(some.where("many > 1").drop("many"), "token"), rows)
-        release(region)
-        tried = asked(held, lambda p: _fits(x, p, percent) & _near_sizes(x, p, percent))
-        linked = _pairs_measured(tried, pairs, classes, texts_of, words, percent)
+        pivots = materialize(_pivots(region, round_), rows)
+        held = region.join(pivots, "token")
+        # Pairs that don't fit are never made.
+        fit = F.filter("pivots", lambda p: (p["id"] != F.col("id")) & _fits(x, p, percent) & _near_sizes(x, p, percent))
+        tried = held.select("id", F.explode(fit).alias("p")).select("id", F.col("p.id").alias("pivot")).select(*pair)
+        few, n_few = _pairs_of_few(region, percent)
+        pairs = rows * min(PIVOTS, (2 << round_) - 1) + n_few
+        linked = _pairs_measured(tried.unionByName(few).distinct(), pairs, classes, texts_of, words, percent)
         links.append(linked)
         # Only pivots with a link have a cell, and so a boundary.
         ends_of = linked.select(F.explode(F.array("a", "b")).alias("pivot")).distinct()
-        flat = held.select("token", "id", "n", "pos", F.explode("pivots").alias("p")).where("id <> p.id")
+        flat = held.select("token", "id", "n", F.explode("pivots").alias("p")).where("id <> p.id")
         flat = flat.select("token", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("m"))
         celled = flat.join(ends_of, "pivot", "left_semi").where(f"100 * least(n, m) >= {near_percent} * greatest(n, m)")
         near = celled.select("token", "id", *pair)
         wide = near.select("a", "b").distinct().join(linked, ["a", "b"], "left_anti")
         boundary.append(_pairs_measured(wide, pairs, classes, texts_of, words, near_percent))
         # A set leaves a region as one of its pivots or into the cell of one.
-        gone = near.join(linked.select("a", "b"), ["a", "b"], "left_semi").select("token", "id").distinct()
-        rest = held.where(~F.exists("pivots", lambda p: p["id"] == F.col("id"))).drop("pivots")
-        region = materialize(_able(rest.join(gone, ["token", "id"], "left_anti"), percent), rows)
-        release(held)
+        gone = near.join(linked.select("a", "b"), ["a", "b"], "left_semi").select("token", "id")
+        gone = gone.unionByName(pivots.select("token", F.explode("pivots.id").alias("id"))).distinct()
+        rest = region.where(f"many > {FEW}").drop("many").join(gone, ["token", "id"], "left_anti")
+        before, region = region, materialize(_able(rest, percent), rows)
+        release(before, pivots)
         round_ += 1
-    if not links:
-        return classes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), 0
-    found = links[0]
-    edge = boundary[0]
+    found, edge = links[0], boundary[0]
     for more, wider in zip(links[1:], boundary[1:], strict=True):
         found, edge = found.unionByName(more), edge.unionByName(wider)
-    more = _across(found, edge, texts_of, words, percent)
-    return found.select("a", "b").unionByName(more).distinct(), found.count() + more.count()
+    return found, edge
 
 
-def _across(found: DataFrame, boundary: DataFrame, texts_of, words: int, percent: int) -> DataFrame:
-    """Links between cells and those of their boundary copies that are in other components yet."""
+def _across(every: DataFrame, found: DataFrame, boundary: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between cells and those of their boundary copies that are in other components yet, by the links ``every`` and ``found``, of which the cells are."""
     alike = (F.col("n_both") / F.col("n_all")).alias("alike")
     both = lambda d: d.select(F.col("a").alias("cell"), F.col("b").alias("id"), alike).unionByName(
         d.select(F.col("b").alias("cell"), F.col("a").alias("id"), alike)
     )
-    roots = connected_components(found.select("a", "b"), found.count())
+    roots = connected_components(every.select("a", "b").unionByName(found.select("a", "b")), every.count() + found.count())
     root = lambda d, on: d.join(roots.select(F.col("node").alias(on), F.col("root").alias(f"{on}_root")), on, "left").withColumn(
         f"{on}_root", F.coalesce(f"{on}_root", on)
     )
@@ -365,12 +393,11 @@ def _across(found: DataFrame, boundary: DataFrame, texts_of, words: int, percent
         "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - F.lit(1).cast("long"))).alias("slot"), F.lit(1).alias("kind"), "id", "alike"
     )
     rows = put.unionByName(members)
-    texts = texts_of(rows.select("id").distinct(), found.select("a").union(copies.select("id")))
     rows = rows.join(texts, "id").select("cell", "slot", "kind", "id", "alike", "text")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "cell", "slot").sortWithinPartitions("cell", "slot", "kind")
     links = materialize(dealt.mapInArrow(_cells(words, percent), "a long, b long"), most)
-    release(copies, texts)
+    release(copies)
     return links
 
 
@@ -403,13 +430,12 @@ def near_components(
 
 
 def set_classes(
-    docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, heavy: int = 1 << 17, known: DataFrame | None = None
+    docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, heavy: int = 1 << 17
 ) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, n, digest, ...) of every row, and (digest, component, lead) of every set of shingles.
 
     ``component`` numbers what is linked as in ``near_components``, ``lead`` is its row with the smallest id, a struct
     unknown, doc_id, text_hash; null ids come last, then ties by the text's hash. Texts without words are one set.
-    ``known`` (text_hash, known) tells which texts hang together already, by links that hold; the others are looked for.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent lies between 50 and 100")
@@ -429,12 +455,7 @@ def set_classes(
     most = prints.count()
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("lead")
     classes = prints.groupBy("digest").agg(lead, *(F.first(c).alias(c) for c in ("n", "rare", "sketch")))
-    classes = classes.withColumn("id", F.monotonically_increasing_id())
-    if known is None:
-        classes = materialize(classes.withColumn("known", F.col("id")), most, 1 << 11)
-    else:
-        once = known.groupBy(F.col("text_hash").alias("h")).agg(F.min("known").alias("known"))
-        classes = materialize(classes.join(once, F.col("lead.text_hash") == F.col("h")).drop("h"), most, 1 << 11)
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), most, 1 << 11)
 
     # What the rows keep is small; the shingles and sketches of copies go.
     wide, prints = prints, materialize(prints.select("doc_id", "text_hash", "n", "digest"))
@@ -452,10 +473,7 @@ def set_classes(
         return materialize(texts, 2 * few if few <= 1 << 15 else None, 1 << 12)
 
     links, n_links = _links(classes, texts_of, words, percent)
-    if known is not None:
-        firsts = classes.groupBy("known").agg(F.min("id").alias("b"))
-        links = links.unionByName(classes.join(firsts, "known").where("id <> b").select(F.col("id").alias("a"), "b"))
-    roots = connected_components(links, n_links + most)
+    roots = connected_components(links, n_links)
     own = classes.join(roots, F.col("id") == F.col("node"), "left").select("digest", "lead", F.coalesce("root", "id").alias("component"))
     firsts = own.groupBy("component").agg(F.min("lead").alias("first"))
     named = materialize(own.join(firsts, "component").select("digest", "component", F.col("first").alias("lead")), most)

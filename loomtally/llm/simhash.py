@@ -10,11 +10,9 @@ links that span it, never all pairs; components of the whole table are then
 found by alternating large-star and small-star steps.
 
 ``drop_near_copies`` asks for a share of equal five-word shingles. At a
-similarity of 0.8 the fingerprints of long shingles differ in ten of 64 bits or
-so, too many for a join. It therefore groups by the fingerprint of single words,
-where such copies differ in few bits, joins tries of the fingerprints of word
-pairs inside the groups, and confirms the links by the shingles themselves. What
-that misses is found by an exact join of shingle sets between its components.
+similarity of 0.8 the fingerprints of such shingles differ in ten of 64 bits or
+so, too many for a join of tries, and fingerprints of shorter ones lose links, so
+it takes the exact join of ``jaccard_join``.
 """
 
 from __future__ import annotations
@@ -27,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtally.llm.common import materialize, release, ship, small, text_or_empty, without
+from loomtally.llm.common import materialize, ship, text_or_empty, without
 
 BITS = 64
 
@@ -324,32 +322,6 @@ def simhash_components(
     )
 
 
-def _two_prints(key_words: int, print_words: int, seed: int):
-    """For each text a digest of its words, and the fingerprints of shingles of two sizes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for b in batches:
-            rows = np.empty((b.num_rows, 3), dtype=np.uint64)
-            for i, t in enumerate(b.column("text").cast(pa.binary())):
-                w = t.as_py().lower().split()
-                rows[i] = xxhash.xxh64_intdigest(b" ".join(w), seed), _simhash(w, key_words, seed), _simhash(w, print_words, seed)
-            own = rows.view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(b.num_columns - 1)), *(pa.array(np.ascontiguousarray(own[:, i])) for i in range(3))],
-                [*b.schema.names[:-1], "body", "key_fp", "fp"],
-            )
-
-    return run
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets of hashes, each sorted and without repeats."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
-
-
 def shingle_set(text: bytes, words: int, seed: int = 42) -> np.ndarray:
     """Sorted hashes of a text's distinct shingles; none for a text without words."""
     import xxhash
@@ -358,76 +330,21 @@ def shingle_set(text: bytes, words: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in _shingles(w, words)), dtype=np.uint64)) if w else np.empty(0, np.uint64)
 
 
-def _alike(words: int, least: float):
-    """Of rows a, b, text_a, text_b the pairs whose texts share enough shingles; rows of one ``b`` mostly follow each other."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
-            keep = np.zeros(len(a), dtype=bool)
-            last, held = None, np.empty(0, np.uint64)
-            for i, (x, y) in enumerate(zip(batch.column("text_a").cast(pa.binary()), batch.column("text_b").cast(pa.binary()), strict=True)):
-                if b[i] != last:
-                    last, held = b[i], shingle_set(y.as_py(), words)
-                keep[i] = similarity(shingle_set(x.as_py(), words), held) >= least
-            yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
-
-    return run
-
-
 def near_classes(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = 5,
-    least: float = 0.8,
-    key_words: int = 1,
-    key_budget: int = 4,
-    print_words: int = 2,
-    print_budget: int = 10,
-    few: int = 64,
-    seed: int = 42,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8
 ) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, digest) of every row, and (digest, component, lead) of every class, a struct unknown, doc_id, text_hash.
 
     Texts of the same shingles of ``words`` words (ASCII letters lower-cased) are one class. Classes are
-    linked where they share ``least`` of their distinct shingles (Jaccard; over a half, in whole hundredths).
-    Most links are found at once: of classes whose fingerprints agree, of single words on two of
-    ``key_budget + 2`` blocks and of ``print_words`` words within ``print_budget`` bits; where more than
-    ``few`` classes of one group hang together, of those that span them. All links between what
-    does not hang together by then are found by the join of ``jaccard_join``, so none is lost. ``component``
+    linked where they share ``least`` of their distinct shingles (Jaccard; over a half, in whole hundredths);
+    the join of ``jaccard_join`` loses no link between what does not hang together otherwise. ``component``
     numbers what is linked, directly or through others; ``lead`` is its row with the
     smallest id, null ids last, ties by the text's hash. Texts without words (null,
     empty) are one class. Other columns are ignored; an empty table gives no rows.
     """
     from loomtally.llm.jaccard_join import set_classes  # which takes components from here
 
-    ship(docs.sparkSession)
-    text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    prints = materialize(
-        rows.mapInArrow(_two_prints(key_words, print_words, seed), f"doc_id {kind}, text_hash long, body long, key_fp long, fp long")
-    )
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("lead")
-    classes = materialize(prints.groupBy("body").agg(first, F.min("key_fp").alias("key_fp"), F.min("fp").alias("fp")), prints.count())
-    links = _linked(classes, "key_fp", key_budget, "body", "fp", print_budget, few)
-    links = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    asked = links.select(F.col("a").alias("body")).union(links.select("b")).distinct()
-    leads = asked.join(classes, "body").select("body", _row_key("lead.doc_id", "lead.text_hash").alias("k"), F.col("lead.text_hash").alias("h"))
-    texts = rows.select(_row_key("doc_id", "text_hash").alias("k"), F.col("text_hash").alias("h"), "text").join(small(leads, links), ["k", "h"])
-    n_links = links.count()
-    texts = materialize(texts.groupBy("body").agg(F.first("text").alias("text")), 2 * n_links if n_links <= 1 << 15 else None, 1 << 12)
-    pairs = (
-        links.join(texts.select(F.col("body").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("body").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
-    roots = connected_components(pairs.mapInArrow(_alike(words, least), "a long, b long"), n_links)
-    release(links, texts)
-    own = classes.join(roots, F.col("body") == F.col("node"), "left").select("body", F.coalesce("root", "body").alias("known"))
-    sets, named = set_classes(docs, id_col, text_col, words, round(100 * least), known=prints.select("text_hash", "body").join(own, "body"))
-    release(prints, classes)
+    sets, named = set_classes(docs, id_col, text_col, words, round(100 * least))
     return sets.select("doc_id", "text_hash", "digest"), named
 
 
